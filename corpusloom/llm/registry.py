@@ -1,9 +1,10 @@
 """The queries of the training-data operators, with SQL for those that it can express."""
 
-from corpusloom.llm import line_dedup
+from corpusloom.llm import line_dedup, simhash
 
 QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
 ORACLES = {
