@@ -1,8 +1,9 @@
 """The queries of the training-data operators, with SQL for those that it can express."""
 
-from corpusloom.llm import line_dedup, packing, simhash
+from corpusloom.llm import line_dedup, packing, simhash, winnowing
 
 QUERIES = {
+    "op2_winnowing": winnowing.op2_winnowing,
     "op7_pattern_packing": packing.op7_pattern_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
