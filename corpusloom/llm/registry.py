@@ -1,8 +1,10 @@
 """The queries of the training-data operators, with SQL for those that it can express."""
 
-from corpusloom.llm import line_dedup, packing, simhash, winnowing
+from corpusloom.llm import kmeans_tree, line_dedup, packing, quality, simhash, winnowing
 
 QUERIES = {
+    "op3_kmeans_tree": kmeans_tree.op3_kmeans_tree,
+    "op4_quality": quality.op4_quality,
     "op2_winnowing": winnowing.op2_winnowing,
     "op7_pattern_packing": packing.op7_pattern_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
