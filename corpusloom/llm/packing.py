@@ -47,9 +47,9 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN,
     """doc_id, piece, start, length, ids_crc32 (and ids, as little-endian uint32 bytes) of each document's pieces."""
 
     def make():
-        from corpusloom.llm.tokens import WordTokenizer
+        from corpusloom.llm.tokens import word_tokenizer
 
-        words = WordTokenizer(tokenizer_path(tokenizer))
+        words = word_tokenizer(tokenizer_path(tokenizer))
         end = np.array([eos], "<u4").tobytes()
         step = 4 * seq_len
 

@@ -1,23 +1,31 @@
 """Token ids of whole texts with a public word-end tokenizer, by way of bounded caches of words.
 
-The tokenizer cuts a text at white space and then into pre-tokens (letters, single digits, runs of other
-signs) before it merges, so a text's ids are its words' ids joined, and a word's are its pre-tokens'. Words
-repeat, so a dictionary from words to ids saves most of the work. A dictionary that is full is emptied.
+The tokenizer lower-cases and cuts a text into pre-tokens (letters, single digits, runs of other signs; white
+space goes) before it merges, so a text's ids are its pre-tokens' ids joined. Pre-tokens repeat, so a dictionary
+from them to ids saves most of the work. Texts with signs that Python might lower-case or cut in another way go
+by words, and words with such signs to the tokenizer. A dictionary that is full is emptied.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from functools import cache
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 500_000
 #: White space for Python's str.split but not for the tokenizer; texts with it are encoded as they are.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Texts of these signs alone are cut at once.
+_PLAIN = re.compile("[\t-\r -~À-ÿ]*")
 #: Words of these signs alone are cut here; NFC and lower-casing do the same to them in Python.
 _SAFE = re.compile("[!-~À-ÿ]+")
-_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
+
+
+#: Marks words that aren't cut.
+_RAW = "\n"
 
 
 class WordTokenizer:
@@ -28,7 +36,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.pieces, self.most = {}, {}, cache
+        self.pieces: dict[str, bytes] = {}
+        self.most = cache
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -36,10 +45,8 @@ class WordTokenizer:
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """All at once: each pre-token gives one id that ends a word."""
-        if len(self.pieces) + len(new) > self.most:
-            self.pieces.clear()
         ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
         stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
         if len(stops) == len(new):
@@ -48,24 +55,31 @@ class WordTokenizer:
         else:  # a piece that isn't one pre-token after all
             self.pieces.update((p, self._plain(p)) for p in new)
 
-    def _learn(self, missing: list[str]) -> None:
-        cut = {w: _CUT.findall(w.lower()) for w in missing if _SAFE.fullmatch(w) and "<|" not in w}
-        new = list({p for ps in cut.values() for p in ps}.difference(self.pieces))
-        if new:
-            full = len(self.pieces) + len(new) > self.most
-            self._learn_pieces(new if not full else list({p for ps in cut.values() for p in ps}))
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, ps))) for w, ps in cut.items())
-        self.words.update((w, self._plain(w)) for w in missing if w not in cut)
+    def _cut(self, text: str) -> list[str] | None:
+        """A text's pre-tokens; of those with unusual signs, None or words that the tokenizer must see as they are."""
+        if "<|" not in text:
+            if _PLAIN.fullmatch(text):
+                return _CUT.findall(text.lower())
+            if not _ODD.search(text):
+                return [p for w in text.split() for p in (_CUT.findall(w.lower()) if _SAFE.fullmatch(w) else (w + _RAW,))]
+        return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        every = set().union(*[s for s in split if s])
-        missing = every.difference(self.words)
+        cut = [self._cut(t) for t in texts]
+        every = set().union(*[c for c in cut if c])
+        missing = every.difference(self.pieces)
         if missing:
-            if len(self.words) + len(missing) > self.most:
-                self.words.clear()
+            if len(self.pieces) + len(missing) > self.most:
+                self.pieces.clear()
                 missing = every
-            self._learn(list(missing))
-        get = self.words.__getitem__
-        return [self._plain(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+            raw = [p for p in missing if p[-1] == _RAW]
+            self.pieces.update((p, self._plain(p[:-1])) for p in raw)
+            self._learn([p for p in missing if p[-1] != _RAW])
+        get = self.pieces.__getitem__
+        return [self._plain(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+
+
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker: what a task has learned serves the next."""
+    return WordTokenizer(path)
