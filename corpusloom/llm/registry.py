@@ -1,8 +1,9 @@
 """The queries of the training-data operators, with SQL for those that it can express."""
 
-from corpusloom.llm import kmeans_tree, line_dedup, packing, quality, simhash, winnowing
+from corpusloom.llm import kmeans_tree, line_dedup, packing, quality, simhash, toxicity, winnowing
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op3_kmeans_tree": kmeans_tree.op3_kmeans_tree,
     "op4_quality": quality.op4_quality,
     "op2_winnowing": winnowing.op2_winnowing,
