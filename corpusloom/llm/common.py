@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id wherever ids are compared; smaller than any other id.
 NULL_ID = -(2**63)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,9 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_ROWS) == "10000":  # Spark's default: too many whole texts at once
+        conf.set(ARROW_ROWS, "2048")
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ corpus. A document's vector pools its tokens' word vectors. A two-layer numpy ne
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ NONZERO = 2
 WINDOW = 2
 MAX_LABELS = 20_000
 HIDDEN = 32
-CACHE = 300_000
+CACHE = 150_000
 FOLDS, HELD_OUT = 3, 1
 
 # -- tokens ---------------------------------------------------------------------------------------------------
@@ -42,16 +42,22 @@ def _bucket(x: str, low: int = 2) -> int:
     return low + xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) % (BUCKETS - low)
 
 
+@lru_cache(65_536)
+def _shape_bucket(shape: str) -> int:
+    return _bucket("s " + shape)
+
+
+def _case(letters: str) -> str:
+    return "a" if letters.islower() else "A" if letters.isupper() and len(letters) > 1 else "Aa" if letters[0].isupper() else "a"
+
+
 def word_tokens(word: str) -> tuple[int, int]:
-    """The buckets of a word's letters and of its shape."""
-    shape, letters = [], []
-    for m in _RUNS.finditer(word):
-        if m[1]:
-            letters.append(m[1].lower())
-            shape.append("A" if m[1].isupper() and len(m[1]) > 1 else "Aa" if m[1][0].isupper() else "a")
-        else:
-            shape.append("0" if m[2] else m[3][:4])
-    return _bucket("w " + "".join(letters)), _bucket("s " + " ".join(shape[:8]))
+    """The buckets of a word's letters and of its shape: the cases of its runs of letters, 0 for digits, other signs as they are."""
+    if word.isalpha():
+        return _bucket("w " + word.lower()), _shape_bucket(_case(word))
+    runs = _RUNS.findall(word)
+    letters = "".join([r[0] for r in runs]).lower()
+    return _bucket("w " + letters), _shape_bucket(" ".join([_case(a) if a else "0" if d else signs[:4] for a, d, signs in runs[:8]]))
 
 
 class Words(dict):

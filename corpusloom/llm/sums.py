@@ -57,6 +57,6 @@ def summed(df: DataFrame, size: int, make: Callable[[], Callable[[pa.RecordBatch
     by_salt = df.mapInArrow(partial, schema).repartition("block", "salt").mapInArrow(merge, schema)
     whole = by_salt.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(merge, schema)
     out = np.zeros(size, np.int64)
-    for row in whole.toLocalIterator():
+    for row in whole.collect():  # a row a block
         out[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["raw"], "<i8")
     return out
