@@ -1,5 +1,8 @@
-"""All queries over the reference's operators, with their SQL."""
+"""All queries over the reference's operators, with the SQL they are held against."""
+
+from corpusloom.queries import retrieval
 
-QUERIES = {}
-ORACLES = {}
 FLAGSHIP = "hybrid_topk"
+MODULES = (retrieval,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: s for m in MODULES for name, s in m.ORACLES.items()}
