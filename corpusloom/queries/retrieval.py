@@ -118,11 +118,11 @@ def rrf_fusion(spark, d):
 
 
 @query("rrf_positional", f"""
-WITH {LANES}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM lex WHERE rank % 2 = 1),
+WITH {LANES}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM lex WHERE rank > 2),
 {sql.rrf(['a', 'den'], SHOWN, 'fused')} SELECT query_id, doc_id, score, rank FROM fused""")
 def rrf_positional(spark, d):
-    """Lists with gaps in their stored ranks are ranked by place."""
-    gaps = lexical_lane(spark, d).where("rank % 2 = 1")
+    """A list whose stored ranks begin later is ranked by place."""
+    gaps = lexical_lane(spark, d).where("rank > 2")
     return fusion.reciprocal_rank_fusion([gaps, dense_lane(spark, d)], SHOWN, positional=True).select("query_id", "doc_id", "score", "rank")
 
 
