@@ -42,7 +42,7 @@ def parse_review_markdown(texts: DataFrame) -> DataFrame:
     """review_id, decision, notes of a Markdown review (column ``value``): blocks between --- lines; exactly one box is ticked, else the decision is null."""
     block = texts.select(F.explode(F.split("value", r"(^|\n)---+[ \t]*(\n|$)")).alias("b")).where(F.trim("b") != "")
     ticked = F.regexp_extract_all("b", F.lit(r"(?m)^[-*] \[[xX]\] *([a-z_]+)"), F.lit(1))
-    rows = block.select(F.regexp_extract("b", r"(?m)^#+ *([A-Za-z0-9_-]+)", 1).alias("review_id"), F.when(F.size(ticked) == 1, ticked[0]).alias("decision"), F.trim(F.regexp_extract("b", r"(?s)Notes:(.*)$", 1)).alias("notes"))
+    rows = block.select(F.regexp_extract("b", r"(?m)^#+ *([A-Za-z0-9_-]+)", 1).alias("review_id"), F.when(F.size(ticked) == 1, ticked[0]).alias("decision"), F.regexp_replace(F.regexp_extract("b", r"(?s)Notes:(.*)", 1), r"^\s+|\s+$", "").alias("notes"))
     return rows.where("review_id <> ''")
 
 
