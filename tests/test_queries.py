@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corpusloom.queries import registry
@@ -20,7 +21,7 @@ def duck(sf):
 
 def cells(df):
     def one(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
         # A column of integers with nulls is one of floats in pandas.
         return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
