@@ -5,7 +5,7 @@ length bins that fill a sequence are enumerated, their repeat counts are fitted
 rounded down and dealt exact lengths; what stays is packed best-fit, longest first, into the gaps that the
 patterns leave and then into new sequences. The result is a plan - how often each tuple of exact lengths is
 used - whose size depends on the number of lengths, not of documents. Pieces then get their place by their rank
-among the pieces of their length, which is counted in salted parts, so no length is sorted in one task.
+among the pieces of their length, which is counted in parts of about ``SALT_ROWS``, so no length is sorted in one task.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ EOS = 1
 TOKENIZER = "word_bpe_49k.json"
 BINS = 64
 PATTERN_DOCS = 4
-SALT_ROWS = 50_000
+SALT_ROWS = 500
 #: Shares of the fitted repeat counts that are tried.
 SHARES = (1.0, 0.9, 0.75, 0.5)
 
@@ -215,8 +215,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, eo
     cut = written(pieces(docs, tokenizer, seq_len, eos, keep_ids), "packing-pieces")
     hist = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # seq_len rows at most
     place = slots(plan(hist, seq_len))
-    salts = max(1, -(-sum(hist.values()) // salt_rows))
-    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    parts = docs.sparkSession.createDataFrame([(n, -(-c // salt_rows)) for n, c in hist.items()], "length long, __parts long")  # a row a length
+    salted = cut.join(F.broadcast(parts), "length").withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__parts"))).drop("__parts")
     ahead = salted.groupBy("length", "__salt").count()
     ahead = ahead.withColumn("__ahead", F.sum("count").over(W.partitionBy("length").orderBy("__salt")) - F.col("count")).select("length", "__salt", "__ahead")
     own = F.row_number().over(W.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32"))
