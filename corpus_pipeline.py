@@ -34,6 +34,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without a doc_id stay, unless their group has a document with one.
     """
+    found = written(simhash.near_duplicates(docs), "pipeline-groups")
+    ids = found.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        # Every row has an id of its own: only ids meet the texts, and where few enough go they are broadcast.
+        return only(docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti"), *COLUMNS)
     found = written(simhash.near_duplicates(docs, carry=REST), "pipeline-groups")
     whole = found.where("component_id is null or doc_id = component_id")
     named = whole.where("doc_id is not null").dropDuplicates(["doc_id"])
