@@ -43,21 +43,37 @@ PRIOR = 0.1  # where no label tells
 # -- words ----------------------------------------------------------------------------------------------------
 
 
-def word_buckets(word: str) -> tuple[int, ...]:
-    """A lower-cased word without signs at its ends, and its first letters, as buckets."""
-    core = word.strip(SIGNS)
-    found = [xxhash.xxh64_intdigest(x, 3) for x in ("w" + core, *(f"{n}{core[:n]}" for n in STEMS))]
-    return tuple((h >> (32 * t)) % TABLE + t * TABLE for h in found for t in range(TABLES))
+_PAIR = struct.Struct("<2i").pack
 
 
-_PACK = struct.Struct(f"<{(1 + len(STEMS)) * TABLES}i").pack
+def _pair(x: str) -> bytes:
+    """A bucket of each table, as bytes."""
+    h = xxhash.xxh64_intdigest(x, 3)
+    return _PAIR(h % TABLE, (h >> 32) % TABLE + TABLE)
+
+
+class Pairs(dict):
+    """Strings to their buckets; emptied when full."""
+
+    def __missing__(self, x: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        self[x] = raw = _pair(x)
+        return raw
 
 
 class Words(dict):
+    """Lower-cased words to the buckets of what is left without signs at their ends, and of its first letters."""
+
+    def __init__(self):
+        super().__init__()
+        self.stems = Pairs()
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = raw = _PACK(*word_buckets(word))
+        core = word.strip(SIGNS)
+        self[word] = raw = _pair("w" + core) + b"".join([self.stems[f"{n}{core[:n]}"] for n in STEMS])
         return raw
 
 
