@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import coverage, tokens
 from corpusloom.operators.lexical import top_k
+from corpusloom.operators.scan import running_sums
 
 RRF_K = 60
 
@@ -105,9 +106,8 @@ def calibrate(scored: DataFrame, score: str = "score", label: str = "label") ->
     """
     by = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("int")).alias("p"), F.sum(1 - F.col(label).cast("int")).alias("n"))
     total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    up = W.orderBy(F.desc("threshold"))
-    by = by.select("threshold", F.sum("p").over(up).alias("tp"), F.sum("n").over(up).alias("fp"))
-    by = by.join(F.broadcast(total))
+    by = running_sums(by, "threshold", {"tp": "p", "fp": "n"}, descending=True)
+    by = by.join(F.broadcast(total))  # one row
     rate = (F.coalesce(F.col("tp") / F.nullif("all_p", F.lit(0)), F.lit(0.0)) + 1 - F.coalesce(F.col("fp") / F.nullif("all_n", F.lit(0)), F.lit(0.0))) / 2
     return by.select("threshold", F.round(rate, 6).alias("balanced")).orderBy(F.desc("balanced"), F.desc("threshold")).limit(1)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import TOKEN
+from corpusloom.functions.text import TOKEN, collapse
 
 #: In order of precedence: (type, pattern or None, phrases).
 QUESTION_RULES = (
@@ -28,6 +28,11 @@ def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases], F.lit(False))
 
 
+def norm(text: Column) -> Column:
+    """Lower-cased, white space collapsed: what phrases are looked for in."""
+    return F.lower(collapse(text))
+
+
 def in_scope(df: DataFrame, column: str, scope: set | None) -> DataFrame:
     """Rows of the partitions in ``scope``: None is all, the empty set none."""
     return df if scope is None else df.where(F.col(column).isin(*sorted(scope))) if scope else df.where(F.lit(False))
@@ -47,10 +52,10 @@ def resolve_scope(kind: str, subject: str | None, known: tuple[str, ...]) -> set
 
 
 def route_question(queries: DataFrame, rules=QUESTION_RULES, out_of_scope: tuple[str, ...] = OUT_OF_SCOPE) -> DataFrame:
-    text = F.lower(F.col("text"))
+    text = norm(F.col("text"))
     route = None
     for name, pattern, phrases in rules:
-        hit = text.rlike(pattern) if pattern else contains_any(text, phrases)
+        hit = text.rlike(pattern) | contains_any(text, phrases) if pattern else contains_any(text, phrases)
         route = F.when(hit, name) if route is None else route.when(hit, name)
     return queries.select("query_id", route.otherwise("general").alias("route"), contains_any(text, out_of_scope).alias("out_of_scope"))
 
@@ -62,7 +67,7 @@ def phrases(spark: SparkSession, of: dict[str, tuple[str, ...]]) -> DataFrame:
 
 def route_subject(queries: DataFrame, dimension: DataFrame) -> DataFrame:
     """The subject whose phrases the question holds most of; none if two have as many, or none has any."""
-    text = F.lower(F.col("text"))
+    text = norm(F.col("text"))
     dims = [(r["subject"], tuple(r["phrases"])) for r in dimension.orderBy("subject").collect()]  # the dimension is a parameter
     hits = F.array(*[F.struct(reduce(lambda a, b: a + b, [F.contains(text, F.lit(p)).cast("int") for p in ps]).alias("hits"), F.lit(s).alias("subject")) for s, ps in dims])
     best = F.array_max(F.transform("h", lambda x: x["hits"]))
@@ -78,8 +83,10 @@ def comparison_variants(queries: DataFrame, pattern: str) -> DataFrame:
     return queries.select("query_id", F.posexplode(split).alias("variant_no", "variant")).withColumn("variant_no", F.col("variant_no").cast("long"))
 
 
-def needs_context(text: Column, references: tuple[str, ...] = REFERENCES, short: int = 4) -> Column:
-    return contains_any(F.lower(text), references) | (F.regexp_count(text, F.lit(TOKEN)) <= short)
+def needs_context(text: Column, references: tuple[str, ...] = REFERENCES, short: int | str = 4) -> Column:
+    """A question that refers back, or is short: of at most so many tokens, or of a pattern."""
+    brief = norm(text).rlike(short) if isinstance(short, str) else F.regexp_count(text, F.lit(TOKEN)) <= short
+    return contains_any(norm(text), references) | brief
 
 
 def refusals(gated: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def refusals(gated: DataFrame) -> DataFrame:
 
 def route_tool(text: Column, subject: Column, rules=TOOL_RULES, across: tuple[str, ...] = ACROSS) -> Column:
     """Source page, citation, graph, then across subjects (also where the subject is null), then within one."""
-    low, route = F.lower(text), None
+    low, route = norm(text), None
     for name, ps in rules:
         route = F.when(contains_any(low, ps), name) if route is None else route.when(contains_any(low, ps), name)
     return route.when(contains_any(low, across) | subject.isNull(), "cross_subject").otherwise("subject")

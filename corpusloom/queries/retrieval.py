@@ -261,7 +261,7 @@ def adjacent_expansion(spark, d):
 
 
 @query("question_route", r"""
-WITH q AS (SELECT item_id AS query_id, lower(text) AS t FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + turn, lower(text) FROM conversations WHERE role = 'user')
+WITH q AS (SELECT item_id AS query_id, trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' ') AS t FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + turn, trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' ') FROM conversations WHERE role = 'user')
 SELECT query_id, CASE WHEN regexp_matches(t, '(^|[^a-z0-9])[a-d][.)]') THEN 'mcq' WHEN contains(t, 'compare') OR contains(t, ' than ') THEN 'comparison'
   WHEN contains(t, 'quote') OR contains(t, '"') THEN 'exact_quote' WHEN contains(t, 'define') OR contains(t, 'what is') THEN 'definition'
   WHEN contains(t, 'discuss') OR contains(t, 'explain') THEN 'essay' ELSE 'general' END AS route,
@@ -271,9 +271,9 @@ def question_route(spark, d):
     return routing.route_question(items(spark, d).unionByName(chats))
 
 
-@query("subject_route", """
+@query("subject_route", r"""
 WITH p(subject, phrase) AS (VALUES ('en', ' the '), ('en', ' and '), ('en', ' of '), ('fr', ' le '), ('fr', ' et '), ('fr', ' de '), ('de', ' der '), ('de', ' und '), ('de', ' die '), ('es', ' el '), ('es', ' y '), ('es', ' de ')),
-h AS (SELECT item_id AS query_id, subject, count(*) AS hits FROM benchmark, p WHERE contains(lower(text), phrase) GROUP BY 1, 2),
+h AS (SELECT item_id AS query_id, subject, count(*) AS hits FROM benchmark, p WHERE contains(trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), phrase) GROUP BY 1, 2),
 b AS (SELECT query_id, max(hits) AS best FROM h GROUP BY 1)
 SELECT query_id, CASE WHEN count(subject) = 1 THEN min(subject) END AS subject
 FROM (SELECT item_id AS query_id FROM benchmark) LEFT JOIN (SELECT query_id, subject FROM h JOIN b USING (query_id) WHERE hits = best) USING (query_id) GROUP BY query_id""")
@@ -309,7 +309,7 @@ def planned_rerank(spark, d):
 
 
 @query("context_needed", r"""
-SELECT conv_id, turn, (contains(lower(text), ' it ') OR contains(lower(text), ' that ') OR contains(lower(text), ' this ') OR len(regexp_extract_all(text, '[\p{L}\p{N}]+')) <= 4) AS needs_context
+SELECT conv_id, turn, (contains(trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), ' it ') OR contains(trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), ' that ') OR contains(trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), ' this ') OR len(regexp_extract_all(text, '[\p{L}\p{N}]+')) <= 4) AS needs_context
 FROM conversations WHERE role = 'user'""")
 def context_needed(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", routing.needs_context(F.col("text")).alias("needs_context"))
@@ -326,8 +326,8 @@ def refusal_rows(spark, d):
 
 
 @query("tool_route", r"""
-SELECT conv_id, turn, CASE WHEN contains(lower(text), 'page') THEN 'source_page' WHEN contains(lower(text), 'cite') OR contains(lower(text), 'source') THEN 'citation'
-  WHEN contains(lower(text), 'relate') OR contains(lower(text), 'link') THEN 'graph' WHEN conv_id % 3 = 0 OR contains(lower(text), 'across') THEN 'cross_subject' ELSE 'subject' END AS tool
+SELECT conv_id, turn, CASE WHEN contains(trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), 'page') THEN 'source_page' WHEN contains(trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), 'cite') OR contains(trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), 'source') THEN 'citation'
+  WHEN contains(trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), 'relate') OR contains(trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), 'link') THEN 'graph' WHEN conv_id % 3 = 0 OR contains(trim(regexp_replace(lower(text), '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), 'across') THEN 'cross_subject' ELSE 'subject' END AS tool
 FROM conversations WHERE role = 'user'""")
 def tool_route(spark, d):
     subject = F.when(F.col("conv_id") % 3 != 0, F.lit("any"))
