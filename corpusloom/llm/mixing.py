@@ -27,7 +27,7 @@ DIMENSIONS = ("source", "lang", "topic")
 TOPICS = 8
 SAMPLE = 8_192
 HASHED = 256
-CACHE = 150_000
+CACHE = 100_000
 MAX_CELLS = 200_000
 ROUNDS = 200
 FRACTION = 0.5

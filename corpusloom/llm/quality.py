@@ -28,7 +28,7 @@ NONZERO = 2
 WINDOW = 2
 MAX_LABELS = 20_000
 HIDDEN = 32
-CACHE = 150_000
+CACHE = 100_000
 FOLDS, HELD_OUT = 3, 1
 
 # -- tokens ---------------------------------------------------------------------------------------------------
