@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,13 +13,20 @@ from pyspark.sql import functions as F
 KS = (1, 3, 5, 10)
 
 
-def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
+def containment(docs: DataFrame, items: DataFrame, batch: int = 20_000) -> DataFrame:
     """(query_id, doc_id): documents that hold an item's text word for word.
 
-    Items are a benchmark, collected and broadcast; one pass of an Aho-Corasick automaton finds all of them in each
-    document, so documents are neither shuffled nor paired with items.
+    Items are collected and broadcast, ``batch`` at a time; one pass of an Aho-Corasick automaton finds all of a batch
+    in each document, so documents are neither shuffled nor paired with items.
     """
-    few = [(r["query_id"], r["text"]) for r in items.where("text <> ''").collect()]
+    own = items.where("text <> ''")
+    parts = max(1, -(-own.count() // batch))
+    found = [_contained(docs, own.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == n) if parts > 1 else own) for n in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    few = [(r["query_id"], r["text"]) for r in items.collect()]  # a batch
     sent = docs.sparkSession.sparkContext.broadcast(few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

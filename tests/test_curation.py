@@ -79,7 +79,8 @@ def test_outcomes(spark, case, want):
 def test_containment(spark):
     docs = spark.createDataFrame([(1, "abc def"), (2, "xabc"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "abc"), (2, "bc d"), (3, "abc"), (4, "")], "query_id long, text string")
-    assert {tuple(r) for r in evaluate.containment(docs, items).collect()} == {(1, 1), (3, 1), (2, 1), (1, 2), (3, 2)}
+    for batch in (20_000, 2):
+        assert {tuple(r) for r in evaluate.containment(docs, items, batch).collect()} == {(1, 1), (3, 1), (2, 1), (1, 2), (3, 2)}
 
 
 def test_graph(spark):
