@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import jaccard
 from corpusloom.operators.graph import components
+from corpusloom.sources.sinks import written
 
 
 def first_of_key(rows: DataFrame, key: Column, order: str) -> DataFrame:
@@ -27,7 +28,7 @@ def near_duplicates(rows: DataFrame, id_: str = "id", tokens: str = "tokens", th
     n - ceil(threshold * n) + 1 are joined on, as two similar sets share one of them. Sizes filter before tokens
     are compared. Two empty sets are equal.
     """
-    own = rows.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("t"))
+    own = written(rows.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("t")), "near-tokens")
     groups = own.groupBy("t").agg(F.min("id").alias("rep"))
     same = own.join(groups, "t").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
     freq = groups.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))

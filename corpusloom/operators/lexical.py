@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
+from corpusloom.sources.sinks import spread, written
 
 K1, B = 1.5, 0.75
 
@@ -34,23 +35,29 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, keep: Column | None =
     of all ``docs``; ``keep`` only says which may be returned. Documents without a query term aren't ranked. Scores
     are rounded to six digits before they are ranked; ties go to the smaller id.
 
-    Texts are tokenised once, and only tokens that some query has leave the scan: the shuffle holds matches, not
-    the corpus.
+    Texts are tokenised once, and only tokens that some query has leave the scan: what is shuffled and written to the
+    shared folder is matches (with one row a document that holds its length), not the corpus.
     """
     if k <= 0 or k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k and k1 are positive, b is from 0 to 1")
     terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
+    every = F.lit("")  # no token is empty: it stands for the document itself
+    wanted = terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
     flag = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
-    own = docs.select(F.col(id_).alias("doc_id"), flag.alias("keep"), tokens(F.col(text)).alias("t"))
-    stats = own.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean"))
-    found = own.select("doc_id", "keep", F.size("t").alias("n_tokens"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    tf = found.groupBy("term", "doc_id", "keep", "n_tokens").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    own = spread(docs.select(F.col(id_).alias("doc_id"), flag.alias("keep"), F.col(text).alias("text")), "doc_id")
+    own = own.select("doc_id", "keep", F.array_append(tokens(F.col("text")), every).alias("t"))
+    # explode_outer: else Spark would tokenise once more to look for empty lists.
+    found = own.select("doc_id", "keep", (F.size("t") - 1).alias("n_tokens"), F.explode_outer("t").alias("term")).join(wanted, "term", "left_semi")
+    tf = written(found.groupBy("term", "doc_id", "keep", "n_tokens").agg(F.count("*").alias("tf")), "bm25-matches")
+    stats = tf.where(F.col("term") == every).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("n_tokens")) / F.sum("tf")).alias("mean"))
+    tf = tf.where(F.col("term") != every)
+    df = tf.groupBy("term").agg(F.sum(F.lit(1)).alias("df"))
     n = F.col("n_docs")
     idf = df.join(F.broadcast(stats)).select("term", "mean", F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))).alias("idf"))  # stats: one row
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("mean")))
-    scored = tf.where("keep").join(idf, "term").select("term", "doc_id", weight.alias("w")).join(terms, "term")
+    # Dealt by document before terms meet queries: the many (query, document, term) rows are summed where they arise.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    scored = tf.where("keep").join(idf, "term").select("term", "doc_id", weight.alias("w")).repartition(parts, "doc_id").join(terms, "term")
     scored = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_k(scored, k)
 

@@ -46,7 +46,8 @@ x AS (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t
 SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS score FROM x WHERE round(i::DOUBLE / (na + nb - i), 6) >= 0.85
 UNION ALL SELECT rep, id, 1.0::DOUBLE FROM s JOIN g USING (t) WHERE id <> rep""")
 def near_dup_jaccard(spark, d):
-    return curate.near_duplicates(table(spark, d, "documents").select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("tokens")))
+    docs = sinks.spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return curate.near_duplicates(docs.select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("tokens")))
 
 
 QUOTAS = [("direct", 12), ("explanation", 9), ("comparison", 7), ("synthesis", 5)]

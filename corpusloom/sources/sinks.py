@@ -27,6 +27,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` where its scan has fewer parts than the cluster has cores; as it is otherwise.
+
+    A file of one row group is one task, however large the work on its rows; inputs of many files need no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """One row, (rows, digest): the same for the same rows in any order or partitioning.
 
