@@ -260,10 +260,10 @@ def _probe_routed(docs: DataFrame, shards: DataFrame, min_chars: int, carry: tup
 
     n = max(1, -(-(shards.agg(F.sum(F.length("fingerprint")).alias("b")).first()["b"] or 0) // 4 // shard_keys))
     keys = line_keys(docs, min_chars).withColumn("shard", F.pmod("hi", F.lit(n).cast("long")))
-    loads = {r["shard"]: -(-r["count"] // SALT_ROWS) for r in keys.groupBy("shard").count().collect()}  # a row a shard
-    salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for s, k in loads.items() for x in (int(s), int(k))]), F.col("shard")), F.lit(1)) if loads else F.lit(1)
-    keys = keys.withColumn("salt", F.pmod(F.xxhash64("id", "lo"), salts))
-    spread = shards.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long"))))
+    loads = keys.groupBy("shard").count().select("shard", F.ceil(F.col("count") / SALT_ROWS).alias("salts"))
+    loads = F.broadcast(written(loads, "lines-loads"))  # a row a shard
+    keys = keys.join(loads, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "lo"), F.col("salts"))).drop("salts")
+    spread = shards.join(loads, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
