@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 
-CACHE = 200_000
+CACHE = 350_000
 #: White space for Python's str.split but not for the tokenizer; texts with it are encoded as they are.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Texts of these signs alone are cut at once.
