@@ -157,7 +157,7 @@ def probabilities(share: np.ndarray, tokens: np.ndarray, budget: float) -> np.nd
     return np.minimum(1, high * ratio)
 
 
-def mixed(docs: DataFrame, carry: tuple[str, ...] = (), targets: dict[str, dict] | None = None, temper: float = TEMPER, fraction: float = FRACTION, topics: int = TOPICS, sample: int = SAMPLE, max_cells: int = MAX_CELLS) -> DataFrame:
+def mixed(docs: DataFrame, carry: tuple[str, ...] = (), targets: dict[str, dict] | None = None, temper: float = TEMPER, fraction: float = FRACTION, topics: int = TOPICS, sample: int = SAMPLE, max_cells: int = MAX_CELLS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, sampled and ``carry`` of every document.
 
     ``targets`` has wanted shares by dimension and value; a dimension that isn't there gets its present token shares
@@ -189,7 +189,7 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), targets: dict[str, dict]
             goals.append(np.array([want.get(v, 0.0) for v in values], dtype=float))
         if len(got):
             n = got["tokens"].to_numpy(float)
-            share = rake(n / n.sum(), at, goals)
+            share = rake(n / n.sum(), at, goals, rounds)
             got["weight"] = share / (n / n.sum())
             got["probability"] = probabilities(share / max(share.sum(), 1e-300), n, fraction * total)
         else:
@@ -198,7 +198,7 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), targets: dict[str, dict]
         chance = spark.createDataFrame(list(got[[*DIMENSIONS, "weight", "probability"]].itertuples(index=False, name=None)), kind)
         chance = F.broadcast(chance)
     else:
-        raked = rake_frame(share_of, wanted)
+        raked = rake_frame(share_of, wanted, rounds)
         ratio = F.col("share") / F.col("tokens")
         # The scale by bisection, each step a sum over the cells.
         low, high, budget = 0.0, 1.0, fraction * total

@@ -29,11 +29,10 @@ def test_the_table_gets_its_targets(spark):
     assert abs(got.loc[got["sampled"], "tokens"].sum() / got["tokens"].sum() - 0.3) < 0.08
 
 
-def test_cells_too_many_to_collect_give_the_same(spark, monkeypatch):
+def test_cells_too_many_to_collect_give_the_same(spark):
     df = frame(spark).where("doc_id < 100")
-    one = mx.mixed(df).toPandas().sort_values(["doc_id", "tokens"]).reset_index(drop=True)
-    monkeypatch.setattr(mx, "ROUNDS", 30)
-    other = mx.mixed(df, max_cells=0).toPandas().sort_values(["doc_id", "tokens"]).reset_index(drop=True)
+    one = mx.mixed(df, rounds=4).toPandas().sort_values(["doc_id", "tokens"]).reset_index(drop=True)
+    other = mx.mixed(df, max_cells=0, rounds=4).toPandas().sort_values(["doc_id", "tokens"]).reset_index(drop=True)
     assert np.allclose(one["weight"], other["weight"], atol=1e-3) and np.allclose(one["probability"], other["probability"], atol=1e-3)
 
 
