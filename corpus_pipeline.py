@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import line_dedup, mixing, packing, quality, simhash
+from corpusloom.llm import line_dedup, mixing, near_copies, packing, quality
 from corpusloom.llm.common import only, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,19 +30,22 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies (SimHash, 3-word shingles, 3 bits); of repeated rows one.
+    """The document of the smallest doc_id of each group of near copies (5-word shingles, Jaccard 0.8 or more); of repeated rows one.
 
     Rows without a doc_id stay, unless their group has a document with one.
     """
-    found = written(simhash.near_duplicates(docs), "pipeline-groups")
-    ids = found.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    if ids["rows"] == ids["ids"]:
+    node = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = near_copies.near_copies(docs)
+    rooted = only(docs, *COLUMNS).withColumn("node", node).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = written(rooted.select("doc_id", "root"), "pipeline-groups")
+    least = ids.groupBy("root").agg(F.min("doc_id").alias("least"))
+    seen = ids.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if seen["rows"] == seen["ids"]:
         # Every row has an id of its own: only ids meet the texts, and where few enough go they are broadcast.
-        return only(docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti"), *COLUMNS)
-    found = written(simhash.near_duplicates(docs, carry=REST), "pipeline-groups")
-    whole = found.where("component_id is null or doc_id = component_id")
+        return only(docs.join(ids.join(least, "root").where("doc_id <> least").select("doc_id"), "doc_id", "left_anti"), *COLUMNS)
+    whole = rooted.join(least, "root").where("least is null or doc_id = least")
     named = whole.where("doc_id is not null").dropDuplicates(["doc_id"])
-    unnamed = whole.where("doc_id is null").dropDuplicates(["fp"])
+    unnamed = whole.where("doc_id is null").dropDuplicates(["node"])
     return only(named.unionByName(unnamed), *COLUMNS)
 
 
