@@ -6,7 +6,8 @@ document is then kept with the probability that makes its cell's expected tokens
 expected total is the wanted part of all tokens although no probability exceeds 1. A document's draw is a hash of
 its id, so it is the same in every run.
 
-Topics are the nearest of ``TOPICS`` spherical k-means centres of hashed words, fitted on at most ``SAMPLE`` documents.
+Topics are the nearest of ``TOPICS`` spherical k-means centres of hashed words. Each round of their fit
+is a sum over the distinct word vectors of all documents, so copies count once.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import arrow_map, only, table, texts, written
+from corpusloom.llm.sums import summed
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS = 8
-SAMPLE = 8_192
 HASHED = 256
+SCALE = 2.0**20
 CACHE = 100_000
 MAX_CELLS = 200_000
 ROUNDS = 200
@@ -51,54 +53,82 @@ def _words() -> Words:
 
 
 def hashed(text: str) -> tuple[np.ndarray, int]:
-    """(unit vector of the distinct words' hashed counts, number of words). No words: zeros."""
+    """(hashed counts of the distinct words, number of words). No words: zeros."""
     words = text.lower().split()
     get = _words().__getitem__
     count = np.bincount(np.frombuffer(b"".join([get(w) for w in set(words)]), "<u2"), minlength=2 * HASHED)
-    x = (count[:HASHED] - count[HASHED:]).astype(np.float64)
-    return x / max(1e-9, np.linalg.norm(x)), len(words)
+    return count[:HASHED] - count[HASHED:], len(words)
 
 
-def topic_centres(docs: DataFrame, topics: int = TOPICS, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means on the documents whose ids hash lowest, less their mean: what most texts share is no topic."""
-    few = only(docs, "doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "doc_id").limit(sample)
+def vectors(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, lang, raw (the hashed counts), tokens (white-space words) and ``carry``. Null text: no words."""
+    own = only(docs, "doc_id", "text", "source", "lang", *[c for c in carry if c not in ("doc_id", "text", "source", "lang")])
 
     def make():
-        return lambda b: {"doc_id": b.column("doc_id"), "x": [hashed(t)[0].astype("<f4").tobytes() for t in texts(b)]}
+        def f(batch):
+            made = [hashed(t) for t in texts(batch)]
+            return {c: batch.column(c) for c in batch.schema.names} | {"__raw": [x.astype("<i4").tobytes() for x, _ in made], "tokens": [n for _, n in made]}
+
+        return f
+
+    kinds = {f.name: f.dataType for f in own.schema}
+    names = ("doc_id", "source", "lang", *[c for c in carry if c not in ("doc_id", "source", "lang")])
+    return arrow_map(own, T.StructType([*[T.StructField(c, kinds[c]) for c in names], T.StructField("__raw", T.BinaryType()), T.StructField("tokens", T.LongType())]), make, 512)
+
+
+def _counts(batch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("__raw").to_pylist()), "<i4").reshape(-1, HASHED).astype(float)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(1e-9, np.sqrt((x * x).sum(axis=1, keepdims=True)))
+
 
-    rows = arrow_map(only(docs, "doc_id", "text").join(F.broadcast(few), "doc_id"), "doc_id long, x binary", make).toPandas()  # sample rows at most, unless ids repeat
-    if not len(rows):
+def _nearest(y: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of the centre of the largest product; of whole numbers, so that a row's doesn't depend on the rows beside it."""
+    return (np.rint(y * SCALE) @ np.rint(centres * SCALE / 2**8).T).argmax(axis=1)
+
+
+def topic_centres(rows: DataFrame, topics: int = TOPICS, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means of the distinct word vectors of all ``rows`` (of ``vectors``). Nothing is subtracted.
+
+    It starts from the vectors that hash lowest; each round is a sum over all.
+    """
+    distinct = written(rows.where("tokens > 0").select("__raw").distinct(), "mixing-vectors")
+    few = distinct.orderBy(F.xxhash64("__raw", F.lit(3)), "__raw").limit(topics).collect()  # the starting points
+    if not few:
         return np.zeros((1, HASHED))
-    rows = rows.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
-    x = np.stack([np.frombuffer(r, "<f4") for r in rows["x"]]).astype(float)
-    distinct = np.unique(x, axis=0)
-    k = min(topics, len(distinct))
-    centres = distinct[np.random.default_rng(2).choice(len(distinct), k, replace=False)]
+    centres = _units(np.stack([np.frombuffer(r[0], "<i4") for r in few]).astype(float))
     for _ in range(rounds):
-        at = (x @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, x)
+
+        def members(centres=centres):
+            def add(batch, total):
+                y = _units(_counts(batch))
+                np.add.at(total.reshape(len(centres), HASHED), _nearest(y, centres), np.rint(y * SCALE).astype(np.int64))
+
+            return add
+
+        sums = summed(distinct, centres.size, members, blocks=8).reshape(centres.shape) / SCALE
         size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), centres)
+        was, centres = centres, np.where(size > 1e-9, sums / np.maximum(size, 1e-9), centres)
+        if np.array_equal(was, centres):
+            break
     return centres
 
 
-def described(docs: DataFrame, centres: np.ndarray, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, lang, topic, tokens (white-space words) and ``carry``. Null text: no words; without words the topic is -1."""
-    sent = docs.sparkSession.sparkContext.broadcast(centres)
-    own = only(docs, "doc_id", "text", "source", "lang", *[c for c in carry if c not in ("doc_id", "text", "source", "lang")])
+def described(rows: DataFrame, centres: np.ndarray, names: tuple[str, ...]) -> DataFrame:
+    """The columns ``names`` of ``rows`` (of ``vectors``), topic and tokens; without words the topic is -1."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
 
     def make():
         def f(batch):
-            made = [hashed(t) for t in texts(batch)]
-            topic = (np.stack([x for x, _ in made]) @ sent.value.T).argmax(axis=1).tolist()
-            return {c: batch.column(c) for c in batch.schema.names} | {"topic": [t if n else -1 for t, (_, n) in zip(topic, made)], "tokens": [n for _, n in made]}
+            topic, tokens = _nearest(_units(_counts(batch)), sent.value), batch.column("tokens").to_numpy()
+            return {c: batch.column(c) for c in (*names, "tokens")} | {"topic": np.where(tokens > 0, topic, -1)}
 
         return f
 
-    kinds = {f.name: f.dataType for f in own.schema}
-    names = ("doc_id", "source", "lang", *[c for c in carry if c not in ("doc_id", "source", "lang")])
-    return arrow_map(own, T.StructType([*[T.StructField(c, kinds[c]) for c in names], T.StructField("topic", T.IntegerType()), T.StructField("tokens", T.LongType())]), make, 512)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    return arrow_map(only(rows, *names, "__raw", "tokens"), T.StructType([*[T.StructField(c, kinds[c]) for c in names], T.StructField("topic", T.IntegerType()), T.StructField("tokens", T.LongType())]), make, 512)
 
 
 # -- raking ---------------------------------------------------------------------------------------------------
@@ -157,7 +187,7 @@ def probabilities(share: np.ndarray, tokens: np.ndarray, budget: float) -> np.nd
     return np.minimum(1, high * ratio)
 
 
-def mixed(docs: DataFrame, carry: tuple[str, ...] = (), targets: dict[str, dict] | None = None, temper: float = TEMPER, fraction: float = FRACTION, topics: int = TOPICS, sample: int = SAMPLE, max_cells: int = MAX_CELLS, rounds: int = ROUNDS) -> DataFrame:
+def mixed(docs: DataFrame, carry: tuple[str, ...] = (), targets: dict[str, dict] | None = None, temper: float = TEMPER, fraction: float = FRACTION, topics: int = TOPICS, max_cells: int = MAX_CELLS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, sampled and ``carry`` of every document.
 
     ``targets`` has wanted shares by dimension and value; a dimension that isn't there gets its present token shares
@@ -167,9 +197,11 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), targets: dict[str, dict]
     has tokens. Null doc_id: drawn as one id. Repeated rows: drawn alike. Other columns are ignored. No rows: no rows.
     """
     spark = docs.sparkSession
-    rows = written(described(docs, topic_centres(docs, topics, sample), carry), "mixing-rows")
+    found = written(vectors(docs, carry), "mixing-rows")
+    centres = topic_centres(found, topics)
+    rows = described(found, centres, ("doc_id", "source", "lang", *[c for c in carry if c not in ("doc_id", "source", "lang")]))
     key = lambda c: F.coalesce(F.col(c), F.lit("\x00")) if c != "topic" else F.col(c)
-    cells = rows.groupBy(*[key(c).alias(c) for c in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))
+    cells = described(found, centres, ("source", "lang")).groupBy(*[key(c).alias(c) for c in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))
     cells = written(cells, "mixing-counts")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     wanted = []

@@ -47,3 +47,17 @@ def test_edges(spark, fraction):
         same.setdefault((r["doc_id"], r["text"], r["lang"], r["source"]), set()).add((r["probability"], r["sampled"]))
     assert all(len(v) == 1 for v in same.values())
     assert mx.mixed(empty(spark)).count() == 0
+
+
+def test_topics_come_from_all_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mx.vectors(df).cache()
+    x = np.unique(np.stack([mx.hashed(t)[0] for (t,) in df.where("text is not null").select("text").collect() if t.split()]).astype(float), axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = mx.topic_centres(rows, rounds=40)
+    at = (x @ centres.T).argmax(axis=1)
+    for k in set(at.tolist()):  # the centres are those of their members, of all documents
+        own = x[at == k].sum(axis=0)
+        assert own @ centres[k] > 0.999 * np.linalg.norm(own)
+    again = mx.topic_centres(rows.unionByName(rows.limit(300)).unionByName(rows.limit(300)), rounds=40)  # copies count once
+    assert np.array_equal(centres, again)
