@@ -41,7 +41,10 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution."""
 
 UNLICENSE = """This is free and unencumbered software released into the public domain.
-Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org/>"""
 
 APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
@@ -50,7 +53,8 @@ Unless required by applicable law or agreed to in writing, software distributed
 MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
 GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version.
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
 
 TEXTS = {
     "MIT": MIT,
@@ -65,6 +69,16 @@ TEXTS = {
     "GPL-3.0-or-later": GPL_NOTICE.format(n=3),
 }
 
+#: Title lines that stand above a text; each text is known with and without them.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
 #: How notices name a licence.
 NAMES = {
     "MIT": ("MIT License", "MIT"),
@@ -102,7 +116,8 @@ SPELLINGS = (
     ("sub-license", "sublicense"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINES = r"(^|\n)[ \t#*/;%-]*(copyright|\(c\)|all rights reserved)[^\n]*"
+#: Copyright is followed by (c), a year, or a sign (a space by now, between two).
+COPYRIGHT_LINES = r"(^|\n)[ \t#*/;%-]*(copyright([ \t]*(\(c\)|[0-9])|[ \t]{3})|\(c\)|all rights reserved)[^\n]*"
 BETWEEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: Every notice's canonical form holds one of these once A-Z are lower-cased; lines without can't be notices.
 KEYS = ("licens", "licenc", "spdx", "released", "distributed", "public")
@@ -135,7 +150,7 @@ def canonical(text: str) -> str:
 def catalogue() -> tuple[tuple[str, str], ...]:
     """(digest, licence) of all known texts and notices; where two have one canonical form, the first."""
     found: dict[str, str] = {}
-    for licence, text in [*TEXTS.items(), *((i, t) for i, ts in notices().items() for t in ts)]:
+    for licence, text in [*TEXTS.items(), *((i, f"{x}\n\n{TEXTS[i]}") for i, own in TITLES.items() for x in own), *((i, t) for i, ts in notices().items() for t in ts)]:
         found.setdefault(hashlib.sha256(canonical(text).encode()).hexdigest(), licence)
     return tuple(found.items())
 

@@ -45,3 +45,19 @@ def test_edges(spark):
     assert lc.licensed(empty(spark)).count() == 0
     got = lc.licensed(frame(spark))
     assert got.count() == len(rows()) and got.columns == ["doc_id", "text_digest", "license_id", "line_licenses"] and "text_digest" not in SCHEMA
+
+
+def test_standard_files_are_found(spark):
+    import textwrap
+
+    wrapped = {i: "\n".join(textwrap.fill(p, 70) for p in t.split("\n")) for i, t in lc.TEXTS.items()}
+    data, want = [], []
+    for i, titles in lc.TITLES.items():
+        for title in titles:
+            data.append((len(data), f"{title}\n\nCopyright (c) 2020 Someone\n\n{wrapped[i]}\n"))
+            want.append(i)
+    data.append((len(data), "Copyright © A. Body\n" + wrapped["ISC"].replace("provided that the above copyright", "provided that the above\ncopyright")))
+    want.append("ISC")
+    got = {r["doc_id"]: r["license_id"] for r in lc.licensed(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(want))] == want
+    assert "jurisdictions" in lc.TEXTS["Unlicense"] and all("You should have received" in lc.TEXTS[f"GPL-{n}.0-or-later"] for n in (2, 3))
