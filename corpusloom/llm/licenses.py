@@ -119,8 +119,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Copyright is followed by (c), a year, or a sign (a space by now, between two).
 COPYRIGHT_LINES = r"(^|\n)[ \t#*/;%-]*(copyright([ \t]*(\(c\)|[0-9])|[ \t]{3})|\(c\)|all rights reserved)[^\n]*"
 BETWEEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
-#: Every notice's canonical form holds one of these once A-Z are lower-cased; lines without can't be notices.
-KEYS = ("licens", "licenc", "spdx", "released", "distributed", "public")
+#: Every known text and notice holds one of these once A-Z are lower-cased; lines without can't be one.
+KEYS = ("licens", "licenc", "spdx", "released", "distributed", "public", "redistribut", "permission")
 
 
 def notices() -> dict[str, tuple[str, ...]]:

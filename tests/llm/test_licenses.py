@@ -61,3 +61,10 @@ def test_standard_files_are_found(spark):
     got = {r["doc_id"]: r["license_id"] for r in lc.licensed(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(want))] == want
     assert "jurisdictions" in lc.TEXTS["Unlicense"] and all("You should have received" in lc.TEXTS[f"GPL-{n}.0-or-later"] for n in (2, 3))
+
+
+def test_every_text_has_a_key_and_is_found_on_a_line(spark):
+    assert all(any(k in t.lower() for k in lc.KEYS) for t in lc.TEXTS.values())
+    data = [(n, "prose before\n" + t.replace("\n", " ") + "\nprose after") for n, t in enumerate(lc.TEXTS.values())]
+    got = {r["doc_id"]: r["line_licenses"] for r in lc.licensed(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[n] for n in range(len(data))] == list(lc.TEXTS)
