@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_map, only, table, texts, written
+from corpusloom.llm.common import arrow_map, only, table, written
 
 SEQ_LEN = 4096
 EOS = 1
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN,
         def f(batch):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             kept = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts(batch))):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode_column(batch.column("text"))):
                 ids += end
                 for n, at in enumerate(range(0, len(ids), step)):
                     cut = ids[at : at + step]
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN,
 
         return f
 
-    return arrow_map(only(docs, "doc_id", "text"), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids, make, 256)
+    return arrow_map(only(docs, "doc_id", "text"), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids, make, 2048)
 
 
 # -- plan -----------------------------------------------------------------------------------------------------
