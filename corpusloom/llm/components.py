@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import discard, written
 
 ROUNDS = 60
 
@@ -30,7 +30,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
     state = None
     for _ in range(ROUNDS):
-        now = written(_star(_star(now, True), False), tag)
+        was, now = now, written(_star(_star(now, True), False), tag)
+        discard(was)
         # The links are stars about the least nodes, and stay so, when no node is both an end and a centre.
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:

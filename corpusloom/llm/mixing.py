@@ -12,23 +12,23 @@ is a sum over the distinct word vectors of all documents, so copies count once.
 
 from __future__ import annotations
 
-from functools import cache
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import arrow_map, only, table, texts, written
+from corpusloom.llm.common import arrow_map, discard, only, table, written
 from corpusloom.llm.sums import summed
+from corpusloom.llm.words import batches, distinct, hashes
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS = 8
 HASHED = 256
 SCALE = 2.0**20
-CACHE = 100_000
 MAX_CELLS = 200_000
 ROUNDS = 200
 FRACTION = 0.5
@@ -37,27 +37,16 @@ TEMPER = 0.5
 # -- topics ---------------------------------------------------------------------------------------------------
 
 
-class Words(dict):
-    """Words to a place and a sign among ``HASHED``; emptied when full."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = raw = (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 17) % (2 * HASHED)).to_bytes(2, "little")
-        return raw
-
-
-@cache
-def _words() -> Words:
-    return Words()
-
-
-def hashed(text: str) -> tuple[np.ndarray, int]:
-    """(hashed counts of the distinct words, number of words). No words: zeros."""
-    words = text.lower().split()
-    get = _words().__getitem__
-    count = np.bincount(np.frombuffer(b"".join([get(w) for w in set(words)]), "<u2"), minlength=2 * HASHED)
-    return count[:HASHED] - count[HASHED:], len(words)
+def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed counts of each text's distinct lower-cased words, its number of words). No words: zeros."""
+    counts, sizes = [np.zeros((0, HASHED), np.int64)], [np.zeros(0, np.int64)]
+    for places, words, ends in batches(column, lower=True):
+        code = (hashes(words, 17) % np.uint64(2 * HASHED)).astype(np.int64)
+        own, place = distinct(places, len(words), ends)
+        count = np.bincount(own * 2 * HASHED + code[place], minlength=len(ends) * 2 * HASHED).reshape(-1, 2 * HASHED)
+        counts.append(count[:, :HASHED] - count[:, HASHED:])
+        sizes.append(np.diff(ends, prepend=0))
+    return np.concatenate(counts), np.concatenate(sizes)
 
 
 def vectors(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -66,8 +55,8 @@ def vectors(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     def make():
         def f(batch):
-            made = [hashed(t) for t in texts(batch)]
-            return {c: batch.column(c) for c in batch.schema.names} | {"__raw": [x.astype("<i4").tobytes() for x, _ in made], "tokens": [n for _, n in made]}
+            counts, sizes = hashed(batch.column("text"))
+            return {c: batch.column(c) for c in batch.schema.names} | {"__raw": [x.tobytes() for x in counts.astype("<i4")], "tokens": pa.array(sizes)}
 
         return f
 
@@ -134,13 +123,6 @@ def described(rows: DataFrame, centres: np.ndarray, names: tuple[str, ...]) -> D
 # -- raking ---------------------------------------------------------------------------------------------------
 
 
-def tempered(shares: dict, temper: float) -> dict:
-    """Shares to the power ``temper``, scaled to sum to 1: 1 keeps them, 0 makes them equal."""
-    raised = {k: v**temper for k, v in shares.items() if v > 0}
-    total = sum(raised.values())
-    return {k: v / total for k, v in raised.items()}
-
-
 def rake(shares: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tol: float = 1e-12) -> np.ndarray:
     """Cell shares scaled to each marginal's ``targets`` in turn, until none is off by over ``tol``. ``places``: each cell's place in each marginal."""
     w = shares / shares.sum()
@@ -155,21 +137,29 @@ def rake(shares: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray]
     return w
 
 
-def rake_frame(cells: DataFrame, targets: list[dict], rounds: int = ROUNDS, tol: float = 1e-9) -> DataFrame:
-    """``rake`` over a table of cells too many for one machine: the marginals are small, the cells stay distributed."""
-    spark = cells.sparkSession
+def rake_frame(cells: DataFrame, rounds: int = ROUNDS, tol: float = 1e-9) -> DataFrame:
+    """``rake`` over a table of cells too many for one machine: columns share and, for each of ``DIMENSIONS``, its value and ``want_`` of it.
+
+    Marginals and cells stay distributed; each round is a written table and the one before is deleted.
+    """
+
+    def off(w: DataFrame, c: str) -> float:
+        have = w.groupBy(c).agg(F.sum("share").alias("h"), F.first(f"want_{c}").alias("g"))
+        return have.agg(F.max(F.abs(F.col("h") - F.col("g")))).first()[0] or 0.0
+
     w = written(cells, "mixing-cells")
     for _ in range(rounds):
-        off = 0.0
-        for name, want in zip(DIMENSIONS, targets):
-            goal = spark.createDataFrame(list(want.items()), f"__key {dict(cells.dtypes)[name]}, __want double")
-            have = w.groupBy(F.col(name).alias("__key")).agg(F.sum("share").alias("__have")).join(goal, "__key")
-            off = max(off, have.agg(F.max(F.abs(F.col("__have") - F.col("__want")))).first()[0] or 0.0)
-            scale = have.select("__key", (F.col("__want") / F.col("__have")).alias("__scale"))
-            w = w.join(scale, w[name] == scale["__key"]).withColumn("share", F.col("share") * F.col("__scale")).drop("__key", "__scale")
-        w = written(w, "mixing-cells")
-        if off <= tol:
+        if max(off(w, c) for c in DIMENSIONS) <= tol:
             break
+        was = w
+        for c in DIMENSIONS:
+            have = w.groupBy(F.col(c).alias("__key")).agg(F.sum("share").alias("__have"))
+            scale = F.when(F.col("__have") > 0, F.col(f"want_{c}") / F.col("__have")).otherwise(0.0)
+            step = written(w.join(have, w[c].eqNullSafe(have["__key"])).withColumn("share", F.col("share") * scale).drop("__key", "__have"), "mixing-cells")
+            if w is not was:
+                discard(w)
+            w = step
+        discard(was)
     return w
 
 
@@ -187,65 +177,85 @@ def probabilities(share: np.ndarray, tokens: np.ndarray, budget: float) -> np.nd
     return np.minimum(1, high * ratio)
 
 
+def scale_of(kept: Callable[[list[float]], list[float]], high: float, budget: float, points: int = 32, rounds: int = 12) -> float:
+    """The least scale, up to rounding, at which ``kept`` reaches the budget: each round cuts the range in ``points`` and asks for all of them at once."""
+    low = 0.0
+    for _ in range(rounds):
+        tries = [low + (high - low) * k / points for k in range(1, points)]
+        enough = [s for s, x in zip(tries, kept(tries)) if x >= budget]
+        cut = enough[0] if enough else high
+        low, high = max([low, *[s for s in tries if s < cut]]), cut
+    return high
+
+
+def wanted(cells: DataFrame, total: int, targets: dict[str, dict], temper: float) -> DataFrame:
+    """``cells`` with tokens and ``want_`` of each dimension: the share that the cell's value is to have; values that targets leave out get 0.
+
+    The marginals are joined and never collected.
+    """
+    out = cells
+    kinds = dict(cells.dtypes)
+    for c in DIMENSIONS:
+        have = cells.groupBy(F.col(c).alias("__key")).agg(F.sum("tokens").alias("__have"))
+        if targets.get(c):
+            given = cells.sparkSession.createDataFrame(list(targets[c].items()), f"__value {kinds[c]}, __given double")
+            raw = have.join(given, have["__key"].eqNullSafe(given["__value"]), "left").select("__key", F.coalesce("__given", F.lit(0.0)).alias("__raw"))
+        else:
+            raw = have.select("__key", F.pow(F.col("__have") / F.lit(float(total)), F.lit(temper)).alias("__raw"))
+        norm = raw.agg(F.sum("__raw")).first()[0] or 0.0
+        raw = raw.select("__key", (F.col("__raw") / F.lit(norm) if norm else F.lit(0.0)).alias(f"want_{c}"))
+        out = out.join(raw, out[c].eqNullSafe(raw["__key"])).drop("__key")
+    return out
+
+
 def mixed(docs: DataFrame, carry: tuple[str, ...] = (), targets: dict[str, dict] | None = None, temper: float = TEMPER, fraction: float = FRACTION, topics: int = TOPICS, max_cells: int = MAX_CELLS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, sampled and ``carry`` of every document.
 
-    ``targets`` has wanted shares by dimension and value; a dimension that isn't there gets its present token shares
-    to the power ``temper``. ``weight`` is wanted over present share of the cell's tokens; ``probability`` is calibrated so that
-    the expected tokens are ``fraction`` of all; ``sampled`` is the draw. Null source or language: a value of its own,
-    returned as null. Null or empty text: topic -1, no tokens, the chance 1 (it costs nothing) unless its cell
-    has tokens. Null doc_id: drawn as one id. Repeated rows: drawn alike. Other columns are ignored. No rows: no rows.
+    ``targets`` has wanted shares by dimension and value: present values that it leaves out get no tokens, named ones
+    that are absent are ignored. A dimension that isn't there gets its present token shares to the power ``temper``.
+    ``weight`` is wanted over present share of the cell's tokens; ``probability`` is calibrated so that the expected
+    tokens are ``fraction`` of all; ``sampled`` is the draw. Up to ``max_cells`` cells are raked on the driver, more as
+    a table, with the same result. Null source or language: a value of its own. Null or empty text: topic -1, no
+    tokens, the chance 1 (it costs nothing) unless its cell has tokens. Very long texts are read whole. Null doc_id:
+    drawn as one id. Repeated rows: drawn alike. Other columns are ignored. No rows: no rows.
     """
     spark = docs.sparkSession
+    extra = [c for c in carry if c not in ("doc_id", "source", "lang")]
     found = written(vectors(docs, carry), "mixing-rows")
     centres = topic_centres(found, topics)
-    rows = described(found, centres, ("doc_id", "source", "lang", *[c for c in carry if c not in ("doc_id", "source", "lang")]))
-    key = lambda c: F.coalesce(F.col(c), F.lit("\x00")) if c != "topic" else F.col(c)
-    cells = described(found, centres, ("source", "lang")).groupBy(*[key(c).alias(c) for c in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))
-    cells = written(cells, "mixing-counts")
+    rows = described(found, centres, ("doc_id", "source", "lang", *extra))
+    counted = described(found, centres, ("source", "lang")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    cells = written(counted.where("tokens > 0"), "mixing-counts")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    wanted = []
-    for c in DIMENSIONS:
-        have = {r[0]: r[1] / total for r in cells.groupBy(c).agg(F.sum("tokens")).collect() if total and r[1]}  # a row a value
-        given = {("\x00" if k is None else k): v for k, v in (targets or {}).get(c, {}).items()}
-        given = {k: v for k, v in given.items() if k in have} if given else tempered(have, temper)
-        norm = sum(given.values())
-        wanted.append({k: v / norm for k, v in given.items()} if norm else given)
-    share_of = cells.where("tokens > 0").select(*DIMENSIONS, "tokens", (F.col("tokens") / F.lit(float(total or 1))).alias("share"))
-    if cells.count() <= max_cells:
+    share_of = written(wanted(cells.withColumn("share", F.col("tokens") / F.lit(float(total or 1))), total or 1, targets or {}, temper), "mixing-wanted")
+    if share_of.count() <= max_cells:
         got = share_of.orderBy(*DIMENSIONS).toPandas()  # max_cells rows at most
-        at, goals = [], []
-        for c, want in zip(DIMENSIONS, wanted):
-            codes, values = pd.factorize(got[c], sort=True)
+        n, at, goals = got["tokens"].to_numpy(float), [], []
+        for c in DIMENSIONS:
+            codes, values = pd.factorize(got[c], use_na_sentinel=False)
+            want = np.zeros(len(values))
+            want[codes] = got[f"want_{c}"]
             at.append(codes)
-            goals.append(np.array([want.get(v, 0.0) for v in values], dtype=float))
-        if len(got):
-            n = got["tokens"].to_numpy(float)
-            share = rake(n / n.sum(), at, goals, rounds)
-            got["weight"] = share / (n / n.sum())
-            got["probability"] = probabilities(share / max(share.sum(), 1e-300), n, fraction * total)
-        else:
-            got["weight"], got["probability"] = [], []
-        kind = "source string, lang string, topic int, weight double, probability double"
-        chance = spark.createDataFrame(list(got[[*DIMENSIONS, "weight", "probability"]].itertuples(index=False, name=None)), kind)
-        chance = F.broadcast(chance)
+            goals.append(want)
+        share = rake(n / n.sum(), at, goals, rounds) if len(got) else n
+        got["weight"] = share / (n / max(n.sum(), 1))
+        got["probability"] = probabilities(share, n, fraction * total)
+        kept = [(None if pd.isna(s) else s, None if pd.isna(g) else g, int(t), float(w), float(p)) for s, g, t, w, p in got[[*DIMENSIONS, "weight", "probability"]].itertuples(index=False, name=None)]
+        chance = F.broadcast(spark.createDataFrame(kept, "source string, lang string, topic int, weight double, probability double"))
     else:
-        raked = rake_frame(share_of, wanted, rounds)
+        raked = rake_frame(share_of, rounds)
         ratio = F.col("share") / F.col("tokens")
-        # The scale by bisection, each step a sum over the cells.
-        low, high, budget = 0.0, 1.0, fraction * total
-        kept = lambda s: raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(s) * ratio))).first()[0]
-        while kept(high) < budget * (1 - 1e-9) and high < 1e300:
-            high *= 4
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if kept(mid) < budget else (low, mid)
-        chance = raked.select(*DIMENSIONS, (ratio * F.lit(float(total))).alias("weight"), F.least(F.lit(1.0), F.lit(high) * ratio).alias("probability"))
-    names = [F.col(f"c.{c}") for c in ("weight", "probability")]
-    joined = rows.alias("r").join(chance.alias("c"), [key_.eqNullSafe(F.col(f"c.{c}")) for c, key_ in ((c, F.coalesce(F.col(f"r.{c}"), F.lit("\x00")) if c != "topic" else F.col("r.topic")) for c in DIMENSIONS)], "left")
-    draw = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), 11) / F.lit(float(2**53))).alias("draw")
-    out = joined.select("r.*", *[F.coalesce(n, F.lit(1.0)).alias(a) for n, a in zip(names, ("weight", "probability"))])
-    return out.withColumn("sampled", draw < F.col("probability")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled", *[c for c in carry if c not in ("doc_id", "source", "lang")])
+        ends = raked.where("share > 0").agg(F.min(ratio).alias("least"), F.sum("tokens").alias("tokens")).first()
+        scale = 0.0
+        if ends["least"]:
+            sums = lambda tries: list(raked.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(s) * ratio)) for s in tries]).first())
+            scale = scale_of(sums, 1 / ends["least"], min(fraction * total, float(ends["tokens"])) * (1 - 1e-12))
+        chance = raked.select(*DIMENSIONS, (ratio * F.lit(float(total))).alias("weight"), F.least(F.lit(1.0), F.lit(scale) * ratio).alias("probability"))
+    joined = rows.alias("r").join(chance.alias("c"), [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in DIMENSIONS], "left")
+    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), 11) / F.lit(float(2**53))
+    # Only cells without tokens have no chance of their own.
+    out = joined.select("r.*", *[F.coalesce(F.col(f"c.{c}"), F.lit(1.0)).alias(c) for c in ("weight", "probability")])
+    return out.withColumn("sampled", draw < F.col("probability")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled", *extra)
 
 
 # -- query ----------------------------------------------------------------------------------------------------

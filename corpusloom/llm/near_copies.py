@@ -7,8 +7,9 @@ Hamming code of length 15 (covering radius 1). The block halfway between two tex
 so a text is dealt to the anchors within 2 (8 at most) and meets its partners there. Sizes of similar sets lie in
 one or two neighbouring classes of ratio 1.25, which deal anchors further. Pairs of ``MOST`` differing bits or fewer are candidates.
 
-Dense groups don't give all their pairs: first the spanning links of 3 bits or fewer are verified, then only pairs whose ends
-aren't already in one group are searched.
+Dense groups don't give all their pairs: first the spanning links of 3 bits or fewer are verified. Then, for each pair of
+``FIRST`` blocks, each group gives its nearest partner at each anchor alone, and what is verified joins groups. Only pairs
+whose ends aren't in one group by then are searched in whole.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BLOCKS = 8
 RADIUS = BLOCKS * (BLOCK_THRESHOLD + 1) - 1
 MOST = 36
 CELLS = 4_000_000
+#: Blocks of the rounds in which each group looks for its nearest partner alone, in its own size class.
+FIRST = ((0, 1), (4, 5))
 
 # -- sets and fingerprints ------------------------------------------------------------------------------------
 
@@ -113,47 +116,73 @@ _FLIPS, _COUNTS = _flips()
 _CHECKS = [sum(1 << (p - 1) for p in range(1, LENGTH + 1) if p >> k & 1) for k in range(4)]
 
 
-def dealt(fps: np.ndarray, fps2: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, place in ``fps``, is in its own class, not the one above) of every replica."""
+def dealt(fps: np.ndarray, fps2: np.ndarray, sizes: np.ndarray, blocks=range(BLOCKS), above: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place in ``fps``, is in its own class, not the one ``above``) of every replica."""
     level = np.floor(np.log(np.maximum(sizes, 1)) / np.log(1 / SIMILARITY) + 1e-9).astype(np.int64)
     place, keys, places, owns = np.arange(len(fps)), [], [], []
-    for block in range(BLOCKS):
-        words = (((fps, fps2)[block // 4] >> np.uint64(block % 4 * LENGTH)) & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
+    for block in blocks:
+        words = _block(fps, fps2, block)
         s = sum(((np.bitwise_count(words & m) & 1).astype(np.int64) << k for k, m in enumerate(_CHECKS)), np.zeros(len(words), np.int64))
         keep = _COUNTS[s]
         near, at = (words[:, None] ^ _FLIPS[s])[keep], np.broadcast_to(place[:, None], keep.shape)[keep]
-        for up in (0, 1):
+        for up in (0, 1)[: 1 + above]:
             keys.append((level[at] + up) << 20 | block << LENGTH | near)
             places.append(at)
             owns.append(np.full(len(at), not up))
     return np.concatenate(keys), np.concatenate(places), np.concatenate(owns)
 
 
-def _met(own: np.ndarray, fp: np.ndarray, fp2: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one key that differ in ``MOST`` bits at most, of sizes that can be similar, and in two groups."""
+def _block(fp: np.ndarray, fp2: np.ndarray, block: int) -> np.ndarray:
+    return (((fp, fp2)[block // 4] >> np.uint64(block % 4 * LENGTH)) & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
+
+
+def _met(key: int, nearest: bool, own: np.ndarray, fp: np.ndarray, fp2: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one key that differ in ``MOST`` bits at most, of sizes that can be similar, and in two groups.
+
+    A pair that surely meets in an earlier block isn't given again, nor one of equal words but at one of their anchors.
+    ``nearest``: of each group the nearest pair alone, of equally near ones that of the least nodes.
+    """
+    block, anchor = key >> LENGTH & 0x1F, key & ((1 << LENGTH) - 1)
     values, counts = np.unique(root, return_counts=True)
     if len(values) == 1 or not own.any():
         return
     fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
     large = root == values[counts.argmax()]  # a group that fills the key isn't compared with itself
     for x, y in ((np.flatnonzero(large), np.flatnonzero(own & ~large)), (np.flatnonzero(~large), np.flatnonzero(own))):
+        x = x[np.argsort(root[x], kind="stable")]
         step = max(1, CELLS // max(1, len(y)))
         for at in range(0, len(x) if len(y) else 0, step):
             z = x[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(fp[z][:, None] ^ fp[y][None, :]) + np.bitwise_count(fp2[z][:, None] ^ fp2[y][None, :]) <= MOST)
-            i, j = z[i], y[j]
+            bits = np.bitwise_count(fp[z][:, None] ^ fp[y][None, :]) + np.bitwise_count(fp2[z][:, None] ^ fp2[y][None, :])
+            i, j = np.nonzero(bits <= MOST)
+            bits, i, j = bits[i, j], z[i], y[j]
             fit = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]) - 1e-9)
-            yield np.minimum(node[i], node[j])[fit], np.maximum(node[i], node[j])[fit]
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``nodes`` (node, fp, fp2, n, root) that meet at an anchor within ``MOST`` bits, of sizes that can be similar, whose roots differ."""
+            bits, i, j = bits[fit], i[fit], j[fit]
+            if not nearest:
+                p, q = fp[i] ^ fp[j], fp2[i] ^ fp2[j]
+                first = (_block(p, q, block) > 0) | (np.bitwise_count(_block(fp[i], fp2[i], block) ^ anchor) <= 1)
+                for earlier in range(block):
+                    first &= np.bitwise_count(_block(p, q, earlier)) > BLOCK_THRESHOLD
+                bits, i, j = bits[first], i[first], j[first]
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            if nearest and len(a):
+                order = np.lexsort((b, a, bits, root[i]))
+                order = order[np.concatenate([[True], np.diff(root[i][order]) != 0])]
+                a, b = a[order], b[order]
+            yield a, b
+
+
+def candidates(nodes: DataFrame, blocks: tuple[int, ...] = tuple(range(BLOCKS)), nearest: bool = False) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, fp, fp2, n, root) that meet at an anchor within ``MOST`` bits, of sizes that can be similar, whose roots differ.
+
+    ``nearest``: at each anchor of the ``blocks``, each group's nearest pair within its size class alone.
+    """
     names = ("fp", "fp2", "n", "node", "root")
 
     def make():
         def f(batch):
             own = {c: batch.column(c).to_numpy() for c in names}
-            key, place, first = dealt(own["fp"].view(np.uint64), own["fp2"].view(np.uint64), own["n"])
+            key, place, first = dealt(own["fp"].view(np.uint64), own["fp2"].view(np.uint64), own["n"], blocks, not nearest)
             return {"key": pa.array(key), "own": pa.array(first)} | {c: pa.array(x[place]) for c, x in own.items()}
 
         return f
@@ -166,8 +195,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
         def made(cols):
             key = cols[0]
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            found = [p for i, j in zip(cuts, cuts[1:]) if j - i > 1 for p in _met(*[c[i:j] for c in cols[1:]]) if len(p[0])]
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            some = np.flatnonzero(np.diff(cuts) > 1)
+            found = [p for i, j in zip(cuts[some].tolist(), cuts[some + 1].tolist()) for p in _met(int(key[i]), nearest, *[c[i:j] for c in cols[1:]]) if len(p[0])]
             if found:
                 a, b = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -219,8 +249,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     close = links(prints.select("fp").distinct()).toDF("p", "q").distinct()
     close = close.join(least.toDF("p", "a"), "p").join(least.toDF("q", "b"), "q").select("a", "b")
     sure = written(verified(docs, written(same.unionByName(close), "near-close")), "near-sure")
-    roots = written(components(sure, "near-groups"), "near-roots")
-    nodes = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    wide = written(candidates(nodes.where("n > 0")), "near-wide")
-    more = verified(docs, wide)
+
+    def grouped(links: DataFrame) -> DataFrame:
+        roots = written(components(links, "near-groups"), "near-roots")
+        return prints.where("n > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    for blocks in FIRST:
+        near = written(candidates(grouped(sure), blocks, nearest=True), "near-next")
+        sure = written(sure.unionByName(verified(docs, near)), "near-sure")
+    more = verified(docs, written(candidates(grouped(sure)), "near-wide"))
     return written(components(sure.unionByName(more), "near-all"), "near-found")

@@ -9,18 +9,19 @@ corpus. A document's vector pools its tokens' word vectors. A two-layer numpy ne
 
 from __future__ import annotations
 
-import re
-from functools import cache, lru_cache
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import arrow_map, only, table, texts
+from corpusloom.llm.common import arrow_map, only, table
 from corpusloom.llm.sums import summed
+from corpusloom.llm.words import batches, hashes
 
 BUCKETS = 1 << 13
 DIM = 48
@@ -28,61 +29,47 @@ NONZERO = 2
 WINDOW = 2
 MAX_LABELS = 20_000
 HIDDEN = 32
-CACHE = 100_000
 FOLDS, HELD_OUT = 3, 1
 
 # -- tokens ---------------------------------------------------------------------------------------------------
 
-_RUNS = re.compile(r"([^\W\d_]+)|(\d+)|([\W_]+)")
 #: Bucket 0 stands between documents and is no token; bucket 1 follows a word that repeats the one before.
 _BREAK, _AGAIN = 0, 1
+#: A word's shape: its runs of capitals, of other letters and of digits each become one sign; other signs stay as they are.
+_RUNS = ((r"\p{Lu}{2,}", "\x02"), (r"\p{Lu}", "\x03"), (r"[\p{L}\p{M}]+", "\x04"), (r"\p{N}+", "\x05"))
 
 
-def _bucket(x: str, low: int = 2) -> int:
-    return low + xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) % (BUCKETS - low)
+def word_tokens(words: pa.Array) -> np.ndarray:
+    """For each word the buckets of its letters, lower-cased, and of its shape."""
+    words = words.cast(pa.large_string())
+    letters = pc.utf8_lower(words)
+    plain = pc.utf8_is_alpha(words)
+    other = pc.invert(plain)
+    letters = pc.replace_with_mask(letters, other, pc.replace_substring_regex(letters.filter(other), r"[^\p{L}\p{M}]+", ""))
+    shape = words
+    for pattern, sign in _RUNS:
+        shape = pc.replace_substring_regex(shape, pattern, sign)
+    found = np.stack([hashes(letters, 7), hashes(shape, 8)], axis=1)
+    return (found % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
 
 
-@lru_cache(65_536)
-def _shape_bucket(shape: str) -> int:
-    return _bucket("s " + shape)
+def token_batches(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, number of buckets up to each text's end) of runs of a column's texts.
 
-
-def _case(letters: str) -> str:
-    return "a" if letters.islower() else "A" if letters.isupper() and len(letters) > 1 else "Aa" if letters[0].isupper() else "a"
-
-
-def word_tokens(word: str) -> tuple[int, int]:
-    """The buckets of a word's letters and of its shape: the cases of its runs of letters, 0 for digits, other signs as they are."""
-    if word.isalpha():
-        return _bucket("w " + word.lower()), _shape_bucket(_case(word))
-    runs = _RUNS.findall(word)
-    letters = "".join([r[0] for r in runs]).lower()
-    return _bucket("w " + letters), _shape_bucket(" ".join([_case(a) if a else "0" if d else signs[:4] for a, d, signs in runs[:8]]))
-
-
-class Words(dict):
-    """Words to the bytes of their two buckets; emptied when full."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = raw = np.array(word_tokens(word), "<i4").tobytes()
-        return raw
-
-
-@cache
-def _words() -> Words:
-    return Words()
+    In reading order: letters, shape for each word; a word that repeats the one before has the shape "again". Null: none.
+    """
+    for places, words, ends in batches(column):
+        out = word_tokens(words)[places]
+        again = np.flatnonzero(out[1:, 0] == out[:-1, 0]) + 1
+        first = np.zeros(len(out) + 1, bool)
+        first[ends] = True
+        out[again[~first[again]], 1] = _AGAIN
+        yield out.ravel(), 2 * ends
 
 
 def tokens(text: str) -> np.ndarray:
-    """Buckets in reading order: letters, shape for each word; a word that repeats the one before has the shape "again"."""
-    get = _words().__getitem__
-    out = np.frombuffer(b"".join([get(w) for w in text.split()]), "<i4").astype(np.int32)
-    if len(out) > 2:
-        again = np.flatnonzero(out[2::2] == out[:-2:2]) + 1
-        out[2 * again + 1] = _AGAIN
-    return out
+    """The buckets of one text."""
+    return next(token_batches(pa.array([text])))[0]
 
 
 # -- word vectors ---------------------------------------------------------------------------------------------
@@ -103,22 +90,25 @@ def context_sums(docs: DataFrame) -> np.ndarray:
 
     def make():
         places, signs = index_vectors()
+        # A bucket's entries as places of a row: plus, minus, and one at the end for the break's, which count nowhere.
+        wide = 2 * DIM + 1
+        code = np.where(signs == 0, 2 * DIM, 2 * places + (signs < 0))
 
         def add(batch, total):
-            parts = []
-            for text in texts(batch):
-                parts += [tokens(text), np.zeros(WINDOW, np.int32)]
-            seq = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-            for at in range(0, len(seq), 1 << 18):
-                own = seq[max(0, at - WINDOW) : at + (1 << 18)]
-                for d in range(1, WINDOW + 1):
-                    a, b = own[:-d], own[d:]
-                    if at:  # pairs that end before this stretch were counted
-                        a, b = a[WINDOW - d :], b[WINDOW - d :]
-                    for x, y in ((a, b), (b, a)):
-                        flat = (x[:, None] * DIM + places[y]).ravel()
-                        total[:] += np.bincount(flat, signs[y].ravel(), BUCKETS * DIM).astype(np.int64)
-            total[: DIM] = 0
+            for found, ends in token_batches(batch.column("text")):
+                own = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                seq = np.zeros(len(found) + WINDOW * len(ends), np.int64)
+                seq[np.arange(len(found)) + WINDOW * own] = found
+                for at in range(0, len(seq), 1 << 18):
+                    near, flat = seq[max(0, at - WINDOW) : at + (1 << 18)], []
+                    for d in range(1, WINDOW + 1):
+                        a, b = near[:-d], near[d:]
+                        if at:  # pairs that end before this stretch were counted
+                            a, b = a[WINDOW - d :], b[WINDOW - d :]
+                        flat += [(x[:, None] * wide + code[y]).ravel() for x, y in ((a, b), (b, a))]
+                    count = np.bincount(np.concatenate(flat), minlength=BUCKETS * wide).reshape(BUCKETS, wide)
+                    total += (count[:, : 2 * DIM : 2] - count[:, 1 : 2 * DIM : 2]).ravel()
+            total[:DIM] = 0
 
         return add
 
@@ -130,16 +120,29 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1.0)).astype(np.float32)
 
 
-def pooled(text: str, vectors: np.ndarray) -> np.ndarray:
-    """Mean, spread, least and largest of a document's word vectors, and the log of its length. No words: zeros."""
-    ids = tokens(text)
-    if not len(ids):
-        return np.zeros(4 * DIM + 1, np.float32)
-    distinct, count = np.unique(ids, return_counts=True)
-    x, share = vectors[distinct], (count / len(ids)).astype(np.float32)
-    mean = share @ x
-    spread = np.sqrt(np.maximum(share @ (x * x) - mean * mean, 0))
-    return np.concatenate([mean, spread, x.min(axis=0), x.max(axis=0), [np.log1p(len(ids)) / 10]]).astype(np.float32)
+def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """For each text the mean, spread, least and largest of its word vectors, and the log of its length. No words: zeros.
+
+    A text's distinct tokens are at most ``BUCKETS``.
+    """
+    out, both = [], np.concatenate([vectors, vectors * vectors], axis=1)
+    for found, ends in token_batches(column):
+        size = np.diff(ends, prepend=0)
+        key, count = np.unique(np.repeat(np.arange(len(ends)), size) * BUCKETS + found, return_counts=True)
+        own, token = key // BUCKETS, key % BUCKETS
+        share = (count / size[own]).astype(np.float32)
+        made = np.zeros((len(ends), 4 * DIM + 1), np.float32)
+        made[:, -1] = np.log1p(size) / 10
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        for row, i, j in zip(own[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)]):
+            x = both[token[i:j]]
+            made[row, : 2 * DIM] = share[i:j] @ x
+            np.min(x[:, :DIM], axis=0, out=made[row, 2 * DIM : 3 * DIM])
+            np.max(x[:, :DIM], axis=0, out=made[row, 3 * DIM : 4 * DIM])
+        mean = made[:, :DIM]
+        made[:, DIM : 2 * DIM] = np.sqrt(np.maximum(made[:, DIM : 2 * DIM] - mean * mean, 0))
+        out.append(made)
+    return np.concatenate(out) if out else np.zeros((0, 4 * DIM + 1), np.float32)
 
 
 def features(docs: DataFrame, vectors: np.ndarray, carry: tuple[str, ...]) -> DataFrame:
@@ -147,10 +150,10 @@ def features(docs: DataFrame, vectors: np.ndarray, carry: tuple[str, ...]) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS * DIM floats
 
     def make():
-        return lambda b: {c: b.column(c) for c in carry} | {"x": [pooled(t, sent.value).tobytes() for t in texts(b)]}
+        return lambda b: {c: b.column(c) for c in carry} | {"x": [x.tobytes() for x in pooled(b.column("text"), sent.value)]}
 
     kinds = {f.name: f.dataType for f in docs.schema}
-    return arrow_map(only(docs, "text", *carry), T.StructType([*[T.StructField(c, kinds[c]) for c in carry], T.StructField("x", T.BinaryType())]), make, 256)
+    return arrow_map(only(docs, "text", *carry), T.StructType([*[T.StructField(c, kinds[c]) for c in carry], T.StructField("x", T.BinaryType())]), make, 2048)
 
 
 # -- network --------------------------------------------------------------------------------------------------
@@ -233,10 +236,10 @@ def sampled_labels(labels: DataFrame, column: str, folds: int, held_out: int, mo
 
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_labels: int = MAX_LABELS) -> Network | Constant:
     known = sampled_labels(labels, "quality", FOLDS, HELD_OUT, max_labels)
-    rows = features(only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id"), vectors, ("doc_id", "y")).toPandas()  # max_labels rows at most, unless doc_ids repeat
+    found = features(only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id"), vectors, ("doc_id", "y"))
+    rows = found.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").toPandas()  # max_labels rows at most
     if not len(rows):
         return Constant(0.5)
-    rows = rows.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     y = rows["y"].to_numpy(float)
     if len(set(y.tolist())) < 2:
         return Constant(float((y.sum() + 1) / (len(y) + 2)))
@@ -248,8 +251,8 @@ def scored(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), max_
     """doc_id, ``carry`` and score: the probability that a document's quality is 1.
 
     Word vectors come from all of ``docs``, labels from rows outside the held-out fold (crc32 of doc_id, mod 3, is
-    1). Null and empty texts get the score of a document without words. Null doc_id: scored, never a label.
-    Repeated rows: scored alike. Without labels every score is 0.5, with one class alone that class's smoothed
+    1). Null and empty texts get the score of a document without words. Very long texts are read whole, in memory in
+    proportion to one text. Null doc_id: scored, never a label. Repeated rows: scored alike. Without labels every score is 0.5, with one class alone that class's smoothed
     share. Other columns are ignored. No rows: no rows.
     """
     vectors = word_vectors(context_sums(docs))
@@ -261,13 +264,13 @@ def scored(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), max_
         vecs, net = sent.value
 
         def f(batch):
-            x = np.stack([pooled(t, vecs) for t in texts(batch)]).astype(float)
+            x = pooled(batch.column("text"), vecs).astype(float)
             return {c: batch.column(c) for c in ("doc_id", *carry)} | {"score": pa.array(net.score(x))}
 
         return f
 
     kinds = {f.name: f.dataType for f in own.schema}
-    return arrow_map(own, T.StructType([*[T.StructField(c, kinds[c]) for c in ("doc_id", *carry)], T.StructField("score", T.DoubleType())]), make, 256)
+    return arrow_map(own, T.StructType([*[T.StructField(c, kinds[c]) for c in ("doc_id", *carry)], T.StructField("score", T.DoubleType())]), make, 2048)
 
 
 # -- query ----------------------------------------------------------------------------------------------------

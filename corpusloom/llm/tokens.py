@@ -17,7 +17,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
-from corpusloom.llm.words import numbered, slices
+from corpusloom.llm.words import batches
 
 CACHE = 500_000
 #: Words of these signs alone are cut here; NFC and lower-casing do the same to them in Python.
@@ -128,9 +128,8 @@ class WordTokenizer:
     def encode_column(self, column: pa.Array) -> list[bytes]:
         """The ids of each text; null: none."""
         out = []
-        for a, b in slices(column):
-            places, words, ends = numbered(column.slice(a, b - a), ascii=True)
-            at = self._places(words)
+        for places, words, ends in batches(column, ascii=True):
+            at = self._places(words.to_numpy(zero_copy_only=False).tolist())
             start, count = self.start[at], self.count[at]
             n = count[places]
             total = np.concatenate([[0], np.cumsum(n)])

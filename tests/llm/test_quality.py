@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import empty, frame, rows
 
@@ -28,10 +29,24 @@ def test_context_sums_as_brute_force(spark, monkeypatch):
 def test_tokens_tell_case_signs_and_repeats():
     a, b = q.tokens("Word word").reshape(-1, 2)
     assert a[0] == b[0] and a[1] != b[1] and b[1] == q._AGAIN
-    assert q.word_tokens("WORD") != q.word_tokens("word") != q.word_tokens("word!!")
+    upper, lower, loud, louder = q.word_tokens(pa.array(["WORD", "word", "word!!", "word!!!!!!!!!!"])).tolist()
+    assert upper[0] == lower[0] == loud[0] and len({x[1] for x in (upper, lower, loud, louder)}) == 4
+    long = ["a1" * 40 + "b", "a1" * 40 + "B"]  # a shape is read to its end
+    assert q.word_tokens(pa.array(long))[0, 1] != q.word_tokens(pa.array(long))[1, 1]
     assert len(q.tokens("")) == 0
 
 
+def test_pooled_as_brute_force():
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(q.BUCKETS, q.DIM)).astype(np.float32)
+    data = ["one two THREE three three", None, "two!! one 22", "", " x  y ", "word " * 5000 + "end"]
+    got = q.pooled(pa.array(data), vectors)
+    for text, row in zip(data, got):
+        x = vectors[q.tokens(text or "")].astype(float)
+        want = np.concatenate([x.mean(axis=0), x.std(axis=0), x.min(axis=0), x.max(axis=0), [np.log1p(len(x)) / 10]]) if len(x) else np.zeros(4 * q.DIM + 1)
+        assert np.allclose(row, want, atol=2e-3)
+
+
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 6))
