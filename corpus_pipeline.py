@@ -18,44 +18,62 @@ REST = ("text", "lang", "source", "n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.5 or more; word vectors from all documents, labels outside its held-out fold."""
+    """Documents that the quality classifier scores 0.5 or more; word vectors from all documents, labels outside its held-out fold.
+
+    A score of 0.5 stays. Null doc_id: scored, never a label. Repeated rows: they stay or go together. Null and empty
+    texts: scored as texts without words. No rows: no rows.
+    """
     scored = quality.scored(docs, table(spark, sf_dir, "labels"), carry=REST)
     return only(scored.where(F.col("score") >= 0.5), *COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the lines that five documents or more share, but for the largest doc_id's; n_chars is counted anew."""
+    """Without the lines that five documents or more share, but for the largest doc_id's; n_chars is counted anew.
+
+    No document goes; a text of shared lines alone becomes empty, a null text stays as the empty text. Every row is a
+    document, so repeated rows count each; those of the largest doc_id keep a line together. Null doc_id: the
+    smallest. No rows: no rows.
+    """
     kept = line_dedup.line_dedup(docs, carry=("lang", "source"))
     return only(kept.withColumn("n_chars", F.length("text").cast("long")), *COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies (5-word shingles, Jaccard 0.8 or more); of repeated rows one.
+    """One row of each group of near copies (5-word shingles, Jaccard 0.8 or more): that of the smallest doc_id, null the largest.
 
-    Rows without a doc_id stay, unless their group has a document with one.
+    Groups are of texts, so rows of one doc_id and unlike texts are two groups; of rows of one group and doc_id
+    the text that hashes lowest stays, of repeated rows one. Texts without words, null among them, are one group. No rows: no rows.
     """
     node = F.xxhash64(F.coalesce("text", F.lit("")))
     found = near_copies.near_copies(docs)
     rooted = only(docs, *COLUMNS).withColumn("node", node).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = written(rooted.select("doc_id", "root"), "pipeline-groups")
-    least = ids.groupBy("root").agg(F.min("doc_id").alias("least"))
+    ids = written(rooted.select("doc_id", "node", "root"), "pipeline-groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")
     seen = ids.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     if seen["rows"] == seen["ids"]:
         # Every row has an id of its own: only ids meet the texts, and where few enough go they are broadcast.
+        least = ids.groupBy("root").agg(F.min("doc_id").alias("least"))
         return only(docs.join(ids.join(least, "root").where("doc_id <> least").select("doc_id"), "doc_id", "left_anti"), *COLUMNS)
-    whole = rooted.join(least, "root").where("least is null or doc_id = least")
-    named = whole.where("doc_id is not null").dropDuplicates(["doc_id"])
-    unnamed = whole.where("doc_id is null").dropDuplicates(["node"])
-    return only(named.unionByName(unnamed), *COLUMNS)
+    least = ids.groupBy("root").agg(F.min(rank).alias("least"))
+    whole = rooted.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("node") == F.col("least.node")))
+    return only(whole.dropDuplicates(["root"]), *COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn when sources, languages and topics are raked to tempered shares and half of all tokens is kept."""
+    """The documents drawn when sources, languages and topics are raked to tempered shares and half of all tokens is kept.
+
+    Repeated rows are drawn together, rows without a doc_id as one id. Null source or language: a value of its own.
+    Documents without words stay unless others of their cell have some. No rows: no rows.
+    """
     return only(mixing.mixed(docs, carry=("text", "n_chars")).where("sampled"), *COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens."""
+    """Sequences of 4096 tokens: a row for each piece of each row's text.
+
+    Null or empty text: the end token alone. Null doc_id and repeated rows are packed as any; which of equally long
+    pieces goes where follows a hash. No rows: no rows.
+    """
     return packing.pack(docs)
 
 

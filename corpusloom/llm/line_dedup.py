@@ -1,11 +1,11 @@
 """Line dedup by a sharded minimal perfect hash.
 
-Lines that many documents share are dropped from all of them but one. The keys of the lines are counted once
-(a partial aggregate on the 128-bit hash), and the keys to be dropped become shards of a minimal perfect hash,
-each of which indexes three compact arrays: fingerprint, document count, largest document id. Documents then
-probe the arrays. Where all shards together fit ``broadcast_bytes``, they are broadcast and the documents are
-probed where they are read; beyond it the (document, key) pairs are routed to their shard, and a hot shard
-is split by salts.
+Lines that many documents share are dropped from all of them but one. The distinct keys of the lines are counted (a
+partial aggregate on the 128-bit hash) and become shards of a minimal perfect hash, each of which indexes compact
+arrays: fingerprint (64 bits), document count, largest document id. Documents probe the arrays, and the count found
+there decides. A key of one document alone takes no room: a probe that finds no fingerprint means a count of one.
+Where all shards together fit ``broadcast_bytes``, they are broadcast and the documents are probed where they are
+read; beyond it the (document, key) pairs are routed to their shard, and a hot shard is split by salts.
 """
 
 from __future__ import annotations
@@ -91,46 +91,63 @@ class PerfectHash:
         return cls(levels, np.frombuffer(raw, "<u8", offset=at).astype(np.uint64))
 
 
+_REST = [("hi", "<u8"), ("lo", "<u8"), ("docs", "<i8"), ("last", "<i8")]
+
+
 class Shard:
-    """A perfect hash with the arrays it indexes."""
+    """A perfect hash of keys' first halves with the arrays it indexes; ``rest`` holds keys whose first half another key has."""
 
-    def __init__(self, hashed: PerfectHash, fingerprint: np.ndarray, docs: np.ndarray, last: np.ndarray):
-        self.hashed, self.fingerprint, self.docs, self.last = hashed, fingerprint, docs, last
+    def __init__(self, hashed: PerfectHash, fingerprint: np.ndarray, docs: np.ndarray, last: np.ndarray, rest: np.ndarray):
+        self.hashed, self.fingerprint, self.docs, self.last, self.rest = hashed, fingerprint, docs, last, rest
 
-    def probe(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        """Where each key's entries are in the arrays, -1 for keys that aren't in the shard."""
+    def probe(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, largest id) of each key; of keys that aren't in the shard (1, any)."""
         at = self.hashed.index(hi)
         found = at >= 0
-        found[found] = self.fingerprint[at[found]] == (lo[found] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return np.where(found, at, -1)
+        found[found] = self.fingerprint[at[found]] == lo[found]
+        docs, last = np.ones(len(hi), np.int64), np.zeros(len(hi), np.int64)
+        docs[found], last[found] = self.docs[at[found]], self.last[at[found]]
+        for r in self.rest:  # hardly ever any
+            same = (hi == r["hi"]) & (lo == r["lo"])
+            docs[same], last[same] = r["docs"], r["last"]
+        return docs, last
 
 
-SHARD_SCHEMA = "shard long, sizes array<int>, bits binary, fingerprint binary, docs binary, last binary"
+SHARD_SCHEMA = "shard long, sizes array<int>, bits binary, fingerprint binary, docs binary, last binary, rest binary"
 
 
 def build_shard(pdf):
     import pandas as pd
 
-    keys = pdf["hi"].to_numpy(np.int64).view(np.uint64)
+    pdf = pdf.sort_values(["hi", "lo"])
+    again = pdf["hi"].duplicated()
+    pick, extra = pdf[~again], pdf[again]
+    rest = np.zeros(len(extra), _REST)
+    for c in ("hi", "lo"):
+        rest[c] = extra[c].to_numpy(np.int64).view(np.uint64)
+    rest["docs"], rest["last"] = extra["docs"], extra["last"]
+    keys = pick["hi"].to_numpy(np.int64).view(np.uint64)
     hashed = PerfectHash.build(keys)
     order = np.empty(len(keys), np.int64)
     order[hashed.index(keys)] = np.arange(len(keys))
     raw, sizes = hashed.dump()
-    pick = pdf.iloc[order]
+    pick = pick.iloc[order]
     return pd.DataFrame(
         {
             "shard": [int(pdf["shard"].iloc[0])],
             "sizes": [sizes],
             "bits": [raw],
-            "fingerprint": [(pick["lo"].to_numpy(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()],
+            "fingerprint": [pick["lo"].to_numpy("<i8").tobytes()],
             "docs": [pick["docs"].to_numpy(np.int64).clip(max=2**32 - 1).astype("<u4").tobytes()],
             "last": [pick["last"].to_numpy("<i8").tobytes()],
+            "rest": [rest.tobytes()],
         }
     )
 
 
 def load_shard(row) -> Shard:
-    return Shard(PerfectHash.load(bytes(row["bits"]), list(row["sizes"])), np.frombuffer(bytes(row["fingerprint"]), "<u4"), np.frombuffer(bytes(row["docs"]), "<u4"), np.frombuffer(bytes(row["last"]), "<i8"))
+    part = lambda c, kind: np.frombuffer(bytes(row[c]), kind)
+    return Shard(PerfectHash.load(bytes(row["bits"]), list(row["sizes"])), part("fingerprint", "<u8"), part("docs", "<u4"), part("last", "<i8"), part("rest", _REST))
 
 
 # -- lines ----------------------------------------------------------------------------------------------------
@@ -151,32 +168,33 @@ def _halves(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(hi, lo, id): the distinct line keys of each document."""
+def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, row: str | None = None) -> DataFrame:
+    """(hi, lo, id): the distinct line keys of each row, with its column ``row`` (a long) if one is named."""
+    names = ("doc_id", "text", *([row] if row else []))
 
     def make():
         def f(batch):
-            raw, ids = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+            raw, ids, rows = [], [], []
+            marks = batch.column(row).to_pylist() if row else [0] * batch.num_rows
+            for doc, text, mark in zip(batch.column("doc_id").to_pylist(), texts(batch), marks):
                 hashes = line_hashes(text, min_chars)[2]
                 own = {hashes[i : i + 16] for i in range(0, len(hashes), 16)}
                 raw += own
                 ids += [NULL_ID if doc is None else doc] * len(own)
+                rows += [mark] * len(own)
             hi, lo = _halves(b"".join(raw))
-            return {"hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "id": pa.array(ids, pa.int64())}
+            return {"hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "id": pa.array(ids, pa.int64()), "row": pa.array(rows, pa.int64())}
 
         return f
 
-    return arrow_map(only(docs, "doc_id", "text"), "hi long, lo long, id long", make)
+    return arrow_map(only(docs, *names), "hi long, lo long, id long" + ", row long" * bool(row), make)
 
 
-def build_shards(keys: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """The shards over the keys that ``min_docs`` documents or more hold, as a written table."""
-    shared = keys.groupBy("hi", "lo").agg(F.count("*").alias("docs"), F.max("id").alias("last")).where(F.col("docs") >= min_docs)
-    # Two keys of equal first halves can't share a perfect hash; the one that sorts first stays (1 in 2^64 pairs).
-    shared = written(shared.groupBy("hi").agg(F.min_by(F.struct("lo", "docs", "last"), "lo").alias("x")).select("hi", "x.lo", "x.docs", "x.last"), "lines-shared")
-    shards = max(1, -(-shared.count() // shard_keys))
-    return written(shared.withColumn("shard", F.pmod("hi", F.lit(shards).cast("long"))).groupBy("shard").applyInPandas(build_shard, SHARD_SCHEMA), "lines-shards")
+def build_shards(keys: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
+    """(shards over the distinct keys that two rows or more hold, as a written table; their number)."""
+    shared = written(keys.groupBy("hi", "lo").agg(F.count("*").alias("docs"), F.max("id").alias("last")).where("docs > 1"), "lines-shared")
+    n = max(1, -(-shared.count() // shard_keys))
+    return written(shared.withColumn("shard", F.pmod("hi", F.lit(n).cast("long"))).groupBy("shard").applyInPandas(build_shard, SHARD_SCHEMA), "lines-shards"), n
 
 
 def _drop_lines(text: str, doc: int, min_chars: int, probe) -> tuple[str, int, int]:
@@ -187,7 +205,7 @@ def _drop_lines(text: str, doc: int, min_chars: int, probe) -> tuple[str, int, i
     return "\n".join([x for n, x in enumerate(lines) if n not in drop]) if drop else text, len(lines), len(drop)
 
 
-def _probe_local(shards: list[Shard], n: int):
+def _probe_local(shards: list[Shard | None], n: int, min_docs: int):
     """A function of (hi, lo, doc): which of a document's keys go."""
 
     def probe(hi, lo, doc):
@@ -196,8 +214,8 @@ def _probe_local(shards: list[Shard], n: int):
         for s in np.unique(which):
             if shards[s] is not None:
                 m = which == s
-                at = shards[s].probe(hi[m], lo[m])
-                gone[m] = (at >= 0) & (shards[s].last[at] != doc)
+                docs, last = shards[s].probe(hi[m], lo[m])
+                gone[m] = (docs >= min_docs) & (last != doc)
         return gone
 
     return probe
@@ -211,30 +229,28 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """Drop the lines that many documents share from all but the largest doc_id that holds them.
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. Keys of ``min_chars`` code
-    points or more in ``min_docs`` rows or more go everywhere but in the rows of the largest doc_id holding them.
+    points or more in ``min_docs`` (2 or more) rows or more go everywhere but in the rows of the largest doc_id holding them.
     Returns doc_id, text (what stays, joined by newlines), n_lines (before dropping), n_dropped and the columns in ``carry``.
-    Other columns are ignored, so names can't clash. Null text: one empty line. Null doc_id: counts as a document,
-    smaller than any other. Repeated rows: each counts as a document; rows of equal doc_id keep or lose lines alike.
-    No rows: no rows.
+    Other columns are ignored, so names can't clash. Null text: one empty line. A row is a document: repeated rows
+    each count, and rows of equal doc_id keep or lose lines alike. Null doc_id: smaller than any other. Very long
+    texts and lines are read whole. No rows: no rows.
     """
-    shards = build_shards(line_keys(docs, min_chars), min_docs, shard_keys)
-    size = shards.agg(F.sum(F.length("bits") + F.length("fingerprint") + F.length("docs") + F.length("last")).alias("b"), F.count("*").alias("n")).first()
-    if (size["b"] or 0) <= broadcast_bytes:
-        return _probe_broadcast(docs, shards, min_chars, carry, shard_keys)
-    return _probe_routed(docs, shards, min_chars, carry, shard_keys)
+    if min_docs < 2:
+        raise ValueError("lines of one document alone aren't indexed")
+    shards, n = build_shards(line_keys(docs, min_chars), shard_keys)
+    size = shards.agg(F.sum(sum(F.length(c) for c in ("bits", "fingerprint", "docs", "last", "rest")))).first()[0] or 0
+    return (_probe_broadcast if size <= broadcast_bytes else _probe_routed)(docs, shards, n, min_chars, min_docs, carry)
 
 
-def _probe_broadcast(docs: DataFrame, shards: DataFrame, min_chars: int, carry: tuple[str, ...], shard_keys: int) -> DataFrame:
+def _probe_broadcast(docs: DataFrame, shards: DataFrame, n: int, min_chars: int, min_docs: int, carry: tuple[str, ...]) -> DataFrame:
     rows = [r.asDict() for r in shards.collect()]  # at most ``broadcast_bytes``
-    keys = sum(len(r["fingerprint"]) // 4 for r in rows)
-    n = max(1, -(-keys // shard_keys))
     sent = docs.sparkSession.sparkContext.broadcast(rows)
 
     def make():
         loaded: list[Shard | None] = [None] * n
         for r in sent.value:
             loaded[r["shard"]] = load_shard(r)
-        probe = _probe_local(loaded, n)
+        probe = _probe_local(loaded, n, min_docs)
 
         def f(batch):
             ids = batch.column("doc_id").to_pylist()
@@ -254,28 +270,29 @@ def _out_schema(own: DataFrame, carry: tuple[str, ...]):
     return T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] + [T.StructField(c, kinds[c]) for c in carry])
 
 
-def _probe_routed(docs: DataFrame, shards: DataFrame, min_chars: int, carry: tuple[str, ...], shard_keys: int) -> DataFrame:
-    """Beyond the broadcast bound: keys go to their shard, the verdicts come back by doc_id."""
+def _probe_routed(docs: DataFrame, shards: DataFrame, n: int, min_chars: int, min_docs: int, carry: tuple[str, ...]) -> DataFrame:
+    """Beyond the broadcast bound: keys go to their shard, the verdicts come back by doc_id and a hash of the text."""
     import pandas as pd
 
-    n = max(1, -(-(shards.agg(F.sum(F.length("fingerprint")).alias("b")).first()["b"] or 0) // 4 // shard_keys))
-    keys = line_keys(docs, min_chars).withColumn("shard", F.pmod("hi", F.lit(n).cast("long")))
+    row = F.xxhash64(F.coalesce("text", F.lit("")))
+    keys = line_keys(docs.select("*", row.alias("__row")), min_chars, "__row").withColumn("shard", F.pmod("hi", F.lit(n).cast("long")))
     loads = keys.groupBy("shard").count().select("shard", F.ceil(F.col("count") / SALT_ROWS).alias("salts"))
     loads = F.broadcast(written(loads, "lines-loads"))  # a row a shard
-    keys = keys.join(loads, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "lo"), F.col("salts"))).drop("salts")
+    keys = keys.join(loads, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "row", "lo"), F.col("salts"))).drop("salts")
     spread = shards.join(loads, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    out = "id long, row long, hi long, lo long"
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = [x.split()[0] for x in out.split(", ")]
         if not len(left) or not len(right):
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "hi": pd.Series([], dtype="int64"), "lo": pd.Series([], dtype="int64")})
-        shard = load_shard(right.iloc[0])
-        at = shard.probe(left["hi"].to_numpy(np.int64).view(np.uint64), left["lo"].to_numpy(np.int64).view(np.uint64))
-        return left.loc[(at >= 0) & (shard.last[at] != left["id"].to_numpy()), ["id", "hi", "lo"]]
+            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in names})
+        many, last = load_shard(right.iloc[0]).probe(left["hi"].to_numpy(np.int64).view(np.uint64), left["lo"].to_numpy(np.int64).view(np.uint64))
+        return left.loc[(many >= min_docs) & (last != left["id"].to_numpy()), names]
 
-    gone = keys.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(probe, "id long, hi long, lo long")
-    gone = gone.distinct().groupBy("id").agg(F.collect_list(F.struct("hi", "lo")).alias("gone"))  # no more than the document's own lines
+    gone = keys.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(probe, out)
+    gone = gone.distinct().groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("hi", "lo")).alias("__gone"))  # no more than a text's own lines
     own = only(docs, "doc_id", "text", *carry)
-    both = own.withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID))).join(gone.withColumnRenamed("id", "__id").withColumnRenamed("gone", "__gone"), "__id", "left")
+    both = own.withColumns({"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__row": row}).join(gone, ["__id", "__row"], "left")
 
     def make():
         def f(batch):
@@ -299,20 +316,21 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
-  FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT row, doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS n
+  FROM d),
 k AS (
-  SELECT doc_id, n, line,
+  SELECT row, doc_id, n, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l),
 c AS (
   SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+  GROUP BY key HAVING count(DISTINCT row) >= 5),
 m AS (
-  SELECT k.doc_id, k.n, k.line, coalesce(c.last <> k.doc_id, false) AS gone FROM k LEFT JOIN c USING (key))
+  SELECT k.row, k.doc_id, k.n, k.line, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last AS gone FROM k LEFT JOIN c USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY row, doc_id
 """

@@ -26,13 +26,43 @@ def brute(data, min_chars=40, min_docs=5):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_keys": 2}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "shard_keys": 2}])
+@pytest.mark.parametrize("how", [{}, {"shard_keys": 2}, {"broadcast_bytes": -1}, {"broadcast_bytes": -1, "shard_keys": 2}])
 def test_as_brute_force(spark, how):
     data = [(r[0], r[1]) for r in rows()] + [(5000 + i, f"a line that is long enough to count, number {i % 3}, of them all\nown {i}") for i in range(30)]
     got = [tuple(r) for r in ld.line_dedup(simple(spark, data), **how).select("doc_id", "text", "n_lines", "n_dropped").collect()]
     assert sorted(got, key=str) == brute(data)
 
 
+def test_sql_with_repeated_and_null_ids(spark):
+    import duckdb
+    import pandas as pd
+
+    line = "a line that is long enough to be counted, whoever holds it"
+    data = [(7, f"{line}\nx"), (7, f"{line}\nx"), (7, f"{line}\ny"), (None, line), (None, f"{line.upper()} \n"), (3, None), (None, None), (2, f"{line}2"), (None, f"{line}2")]
+    documents = pd.DataFrame(data, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = sorted([(d, n, k) for d, n, k, _ in con.execute(ld.ORACLE).fetchall()], key=str)
+    for how in ({}, {"broadcast_bytes": -1}):
+        got = [tuple(r) for r in ld.line_dedup(simple(spark, data), **how).select("doc_id", "n_lines", "n_dropped").collect()]
+        assert sorted(got, key=str) == want == sorted([(d, n, k) for d, _, n, k in brute(data)], key=str)
+    assert sum(k for _, _, k in want) == 2
+
+
+@pytest.mark.parametrize("min_docs", [2, 3])
+def test_keys_of_equal_halves_and_strangers(min_docs):
+    import pandas as pd
+
+    rows = [(5, 1, 2, 10), (5, 2, 3, 20), (5, 3, 4, 30), (9, 1, 2, 40), (-7, -1, 5, 50)]
+    made = ld.build_shard(pd.DataFrame([(0, *r) for r in rows], columns=["shard", "hi", "lo", "docs", "last"]))
+    shard = ld.load_shard(made.iloc[0])
+    hi, lo = (np.array(x, np.int64).view(np.uint64) for x in ([5, 5, 5, 9, -7, 5, 9, 8], [1, 2, 3, 1, -1, 4, 1 + 2**32, 1]))
+    docs, last = shard.probe(hi, lo)
+    assert docs.tolist() == [2, 3, 4, 2, 5, 1, 1, 1] and last[:5].tolist() == [10, 20, 30, 40, 50]
+    gone = ld._probe_local([shard], 1, min_docs)(hi, lo, 30)
+    assert gone.tolist() == [d >= min_docs and x != 30 for d, x in zip(docs.tolist(), last.tolist())]
+
+
 def test_extra_columns_and_no_rows(spark):
     got = ld.line_dedup(frame(spark), carry=("lang", "source"))
     assert got.columns == ["doc_id", "text", "n_lines", "n_dropped", "lang", "source"]
