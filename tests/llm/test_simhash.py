@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from llm_cases import empty, frame, rows, simple
 
@@ -85,3 +86,26 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_of_chains_hubs_and_pairs(spark, few):
+    from corpusloom.llm.components import components
+
+    rng = np.random.default_rng(8)
+    links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(600, 640)] + [(-3, 9), (9, -3), (7, 7), (None, 4)] + [tuple(x) for x in rng.integers(1000, 1100, (60, 2)).tolist()]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    want = sorted((x, find(x)) for x in list(root))
+    got = components(spark.createDataFrame(links, "a long, b long"), few=few)
+    assert sorted((r["node"], r["root"]) for r in got.collect()) == want
+    assert components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
