@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.sources.sinks import written
+from corpusloom.sources.sinks import discard, written
 
 
 def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,23 +44,38 @@ def paths(nodes: DataFrame, edges: DataFrame, queries: DataFrame, hops: int = 2,
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def components(members: DataFrame, item: str, parent: str, rounds: int = 50) -> DataFrame:
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """Each item's larger neighbours (large) or all but the least of its smaller ones (small) are linked to the least item it sees."""
+    if large:
+        seen = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        seen = links
+    least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+    near = seen.join(least, "a")
+    if large:
+        return near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+
+def components(members: DataFrame, item: str, parent: str, rounds: int = 60) -> DataFrame:
     """``item``, component: the smallest item that shares parents with it, over any chain; an item without a parent is its own.
 
-    Labels go from items to parents and back until none changes. Each round is a written table in the shared
-    folder, and pre-aggregated minima are what is shuffled.
+    A parent's items are linked to its least, then large and small stars alternate: rounds grow with the logarithm of
+    a component's size, not with the length of its chains. Each round is a written table in the shared folder and the
+    one before is deleted. Null items are left out.
     """
-    links = written(members.where(F.col(parent).isNotNull()).select(item, parent).distinct(), "component-links")
-    now = written(members.select(item, F.col(item).alias("component")).distinct(), "components")
+    own = members.where(F.col(item).isNotNull() & F.col(parent).isNotNull()).select(F.col(item).alias("a"), F.col(parent).alias("p"))
+    first = own.groupBy("p").agg(F.min("a").alias("b"))
+    now, state = written(own.join(first, "p").where("a <> b").select("a", "b").distinct(), "components"), None
     for _ in range(rounds):
-        least = links.join(now, item).groupBy(parent).agg(F.min("component").alias("c"))
-        back = links.join(least, parent).groupBy(item).agg(F.min("c").alias("c"))
-        new = now.join(back, item, "left").select(item, F.least("component", F.coalesce("c", "component")).alias("component"), (F.col("c") < F.col("component")).alias("moved"))
-        new = written(new, "components")
-        if not new.where("moved").limit(1).count():
-            return new.drop("moved")
-        now = new.drop("moved")
-    raise RuntimeError("components: too long a chain")
+        was, now = now, written(_star(_star(now, True), False), "components")
+        discard(was)
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if state == seen:
+            every = members.where(F.col(item).isNotNull()).select(item).distinct()
+            return every.join(now.select(F.col("a").alias(item), F.col("b").alias("component")), item, "left").select(item, F.coalesce("component", F.col(item)).alias("component"))
+        state = seen
+    raise RuntimeError(f"components: no end after {rounds} rounds")
 
 
 def distinct_spans(paths: DataFrame, spans: str) -> DataFrame:

@@ -6,22 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.sources.sinks import written
+
 ROWS = 200_000
 
 
 def running_sums(rows: DataFrame, order: str, columns: dict[str, str], descending: bool = False, rows_a_part: int = ROWS) -> DataFrame:
-    """Adds for each of ``columns`` (name: source) its sum over the rows up to this one; ``order`` is a number, and unique.
+    """Adds for each of ``columns`` (name: source) its sum over the rows up to this one; ``order`` can be compared, and is unique.
 
-    Rows are dealt by ranges of ``order`` whose bounds are quantiles; a part's rows are summed by a window, and the
-    totals of the parts before it, a row a part, are added.
+    Rows are dealt by ranges of ``order`` and written; a range's rows are summed by a window, and the totals of the
+    ranges before it, a row a range, are added.
     """
-    n = -(-rows.count() // rows_a_part)
-    bounds = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.col(order) > F.lit(b)).cast("int")
+    n = max(1, -(-rows.count() // rows_a_part))
     by = F.desc(order) if descending else F.asc(order)
-    rows = rows.withColumn("__part", part)
+    rows = written(rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()), "scan-parts")
     inside = W.partitionBy("__part").orderBy(by)
     totals = rows.groupBy("__part").agg(*[F.sum(c).alias(f"__{name}") for name, c in columns.items()])
     ahead = W.orderBy(F.desc("__part") if descending else F.asc("__part")).rowsBetween(W.unboundedPreceding, -1)  # a row a part

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.models import extractive_answers
 from corpusloom.functions.text import collapse
 from corpusloom.operators import dense, fusion, lexical, routing
+from corpusloom.sources.sinks import written
 
 
 @dataclass(frozen=True)
@@ -33,15 +34,18 @@ class Baseline:
             raise ValueError("what is sufficient is related")
 
 
-def retrieve(docs: DataFrame, vectors: DataFrame, questions: DataFrame, plan: Baseline = Baseline(), scorer: Callable[[Column, Column], Column] | None = None, keep: Column | None = None) -> DataFrame:
+def retrieve(docs: DataFrame, vectors: DataFrame, questions: DataFrame, plan: Baseline = Baseline(), scorer: Callable[[Column, Column], Column] | None = None, keep: Column | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """query_id, doc_id, score, rank. ``docs`` (doc_id, text), ``vectors`` (vec_id = doc_id, embedding), ``questions`` (query_id, text, embedding).
 
-    Both lanes, fused; a comparison's two sides are searched by themselves and interleaved; the original question reranks.
+    Both lanes, fused; a comparison's two sides are searched by themselves, each by its own text and ``embed`` of it,
+    and interleaved; the original question reranks. Without ``embed`` both sides take the question's vector.
     """
     asked = questions
     if plan.pattern:
         variants = routing.comparison_variants(questions, plan.pattern).join(questions.select("query_id", "embedding"), "query_id")
-        asked = variants.select((F.col("query_id") * 2 + F.col("variant_no")).alias("query_id"), F.col("variant").alias("text"), "embedding")
+        if embed:
+            variants = variants.join(questions.select("query_id", F.col("text").alias("__whole")), "query_id").withColumn("embedding", F.when(F.col("variant") == F.col("__whole"), F.col("embedding")).otherwise(embed(F.col("variant"))))
+        asked = written(variants.select((F.col("query_id") * 2 + F.col("variant_no")).alias("query_id"), F.col("variant").alias("text"), "embedding"), "asked")
     lex = lexical.bm25(docs, asked.select("query_id", "text"), plan.lexical, keep=keep)
     den = dense.cosine_top_k(vectors, asked.select("query_id", "embedding"), plan.dense).withColumnRenamed("vec_id", "doc_id")
     fused = fusion.reciprocal_rank_fusion([lex, den], plan.fused)
@@ -51,18 +55,20 @@ def retrieve(docs: DataFrame, vectors: DataFrame, questions: DataFrame, plan: Ba
     return fusion.rerank(fused.where(F.col("rank") <= plan.candidates), questions, docs, plan.shown, scorer)
 
 
-def ask(docs: DataFrame, vectors: DataFrame, questions: DataFrame, plan: Baseline = Baseline(), scorer=None, rewrite=collapse, generate=extractive_answers) -> DataFrame:
+def ask(docs: DataFrame, vectors: DataFrame, questions: DataFrame, plan: Baseline = Baseline(), scorer=None, rewrite=collapse, generate=extractive_answers, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """query_id, status, answer, evidence_ids: a batch of questions from routing to an answer or a refusal.
 
-    Out of scope: refused. Related but insufficient evidence: ``rewrite`` once and search again. The second gate
-    decides. Evidence of a generated answer is what was retrieved for it, so citations can't name anything else.
+    Out of scope: refused. Related but insufficient evidence: ``rewrite`` once, ``embed`` the new text and search again.
+    The second gate decides. Evidence of a generated answer is what was retrieved for it, so citations can't name anything else.
     """
     routed = routing.route_question(questions.select("query_id", "text"))
     open_ = questions.join(routed.where("not out_of_scope").select("query_id"), "query_id")
-    first = retrieve(docs, vectors, open_, plan, scorer)
+    first = written(retrieve(docs, vectors, open_, plan, scorer, embed=embed), "first-search")
     gate = fusion.gate(first, open_, plan.sufficient, plan.related)
     again = open_.join(gate.where("decision = 'rewrite'").select("query_id"), "query_id").withColumn("text", rewrite(F.col("text")))
-    second = retrieve(docs, vectors, again, plan, scorer)
+    if embed:
+        again = again.withColumn("embedding", embed(F.col("text")))
+    second = written(retrieve(docs, vectors, again, plan, scorer, embed=embed), "second-search")
     last = fusion.gate(second, again, plan.sufficient, plan.related, rewritten=True)
     decided = gate.where("decision <> 'rewrite'").unionByName(last)
     found = first.join(gate.where("decision = 'generate'").select("query_id"), "query_id").unionByName(second.join(last.where("decision = 'generate'").select("query_id"), "query_id"))
@@ -73,8 +79,9 @@ def ask(docs: DataFrame, vectors: DataFrame, questions: DataFrame, plan: Baselin
 
 def recover(base: DataFrame, plan: DataFrame, search: Callable[[DataFrame], DataFrame], questions: DataFrame, docs: DataFrame, k: int, margin: float = 0.0, scorer=None) -> DataFrame:
     """The base ranking with evidence of targeted queries. ``plan`` is (query_id, target_no, text), what a planner wants to know; without rows for a question its baseline stays."""
-    asked = plan.select((F.col("query_id") * 16 + F.col("target_no")).alias("query_id"), "text")
-    found = search(asked).select(F.floor(F.col("query_id") / 16).alias("query_id"), F.pmod("query_id", F.lit(16)).cast("int").alias("target_no"), "doc_id", F.col("rank").alias("place"))
+    plan = written(plan.withColumn("__asked", F.monotonically_increasing_id()), "targets")  # an id for each target, whatever the questions' ids are
+    found = search(plan.select(F.col("__asked").alias("query_id"), "text")).withColumnRenamed("query_id", "__asked")
+    found = found.join(plan.select("__asked", "query_id", F.col("target_no").cast("int").alias("target_no")), "__asked").select("query_id", "target_no", "doc_id", F.col("rank").alias("place"))
     own = base.where("rank <= 5").select("query_id", "doc_id", (F.col("rank") + 100).alias("place")).join(plan.select("query_id", F.col("target_no").cast("int").alias("target_no")), "query_id")
     pool = found.where("place <= 5").unionByName(own.select("query_id", "target_no", "doc_id", "place"))
     scored = fusion.rerank(pool.select("query_id", "doc_id").distinct(), questions, docs, 1_000, scorer)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalized_question, stable_id, tokens
 from corpusloom.operators import curate, stores
+from corpusloom.operators.scan import running_sums
 from corpusloom.queries import sql
 from corpusloom.sources import sinks
 from corpusloom.sources.tables import table
@@ -82,7 +83,9 @@ def perturbations(spark, d):
     """Each question with its whole text, half of it, none, and another's."""
     b = table(spark, d, "benchmark")
     first = b.agg(F.min_by("text", "item_id").alias("first"))
-    rows = b.withColumn("next", F.lead("text").over(W.orderBy("item_id"))).join(F.broadcast(first)).withColumn("other", F.coalesce("next", "first"))  # a benchmark
+    place = running_sums(b.select("item_id", F.lit(1).alias("one")), "item_id", {"n": "one"}).select("item_id", "n")
+    following = place.select((F.col("n") - 1).alias("n"), F.col("item_id").alias("then")).join(b.select(F.col("item_id").alias("then"), F.col("text").alias("next")), "then")
+    rows = b.join(place, "item_id").join(following.select("n", "next"), "n", "left").join(F.broadcast(first)).withColumn("other", F.coalesce("next", "first"))  # one row
     case = lambda n, c: F.struct(F.lit(n).alias("perturbation"), c.alias("context"))
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
     return rows.select("item_id", F.explode(F.array(case("sufficient", F.col("text")), case("partial", half), case("missing", F.lit("")), case("wrong_aspect", F.col("other")))).alias("x")).select("item_id", "x.*")

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder where that is unset."""
+    """``spark.checkpoint.dir``. Where that is unset: a local folder in local mode, an error on a cluster, whose executors share none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-scratch")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -24,7 +27,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there and lost executors don't matter."""
     path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a ``written`` table that nothing reads any more."""
+    path, fs = _file(df.sparkSession, df._written_at)
+    fs.delete(path, True)
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -52,27 +68,57 @@ def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("__n", last).where("__n = 1").drop("__n")
 
 
-def merged(existing: DataFrame, incoming: DataFrame, key: list[str], delete: DataFrame | None = None) -> DataFrame:
-    """Last write wins: rows of ``incoming`` replace those of equal key; keys in ``delete`` go."""
+def merged(existing: DataFrame, incoming: DataFrame, key: list[str], delete: DataFrame | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """Last write wins: rows of ``incoming`` replace those of equal key; keys in ``delete`` go.
+
+    Of incoming rows of one key the last by ``order`` stays, of equal ones that of the largest JSON, so the result
+    doesn't depend on the rows' order.
+    """
     both = existing.withColumn("__v", F.lit(0)).unionByName(incoming.withColumn("__v", F.lit(1)))
-    out = latest(both, key, ["__v"]).drop("__v")
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in existing.columns]))
+    out = latest(both, key, ["__v", *order, whole.desc()]).drop("__v")
     return out if delete is None else out.join(delete.select(*key), key, "left_anti")
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``, after undoing a ``replace_table`` that ended between its two renames.
+
+    Then the new table is whole beside the path, but the writer has not heard that it counts: the old one comes back.
+    """
+    target, fs = _file(spark, path)
+    beside = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.*-*")) or []
+    found = {"old": [], "new": []}
+    for x in beside:
+        kind = x.getPath().getName()[len(target.getName()) + 1 :].split("-")[0]
+        if kind in found:
+            found[kind].append(x)
+    if not fs.exists(target) and found["old"]:
+        last = max(found["old"], key=lambda x: x.getModificationTime())
+        fs.rename(last.getPath(), target)
+        found["old"].remove(last)
+    for x in found["old"] + found["new"]:
+        fs.delete(x.getPath(), True)
+    return bool(fs.exists(target))
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then swap: readers see the old or the new table, and an empty result is an error that leaves the old."""
+    """Write beside ``path``, then swap; an empty result is an error that leaves the old table.
+
+    One writer at a time. Between the two renames there is no table at the path: readers retry, and a writer that
+    ended there is undone by ``recover``, which this calls first.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fresh, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{s}-{uuid.uuid4().hex}") for s in ("new", "old"))
+    recover(spark, path)
+    target, fs = _file(spark, path)
+    fresh, old = (_file(spark, f"{path}.{s}-{uuid.uuid4().hex}")[0] for s in ("new", "old"))
     df.write.parquet(fresh.toString())
     if spark.read.parquet(fresh.toString()).limit(1).count() == 0:
         fs.delete(fresh, True)
         raise ValueError("nothing to write")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(fresh, target):
+        raise OSError(f"can't put the new table at {path}")
     if fs.exists(old):
         fs.delete(old, True)
 

@@ -24,15 +24,12 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, key: list[str], order:
             return
         spark = batch.sparkSession
         new = sinks.latest(batch, key, [order])
-        try:
-            old = spark.read.schema(batch.schema).parquet(path)
-            old.limit(1).count()
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        both = new if old is None else sinks.latest(old.unionByName(new), key, [order])
-        sinks.replace_table(sinks.written(both, "upsert"), path)
+        both = new
+        if sinks.recover(spark, path):  # also after a batch that ended between renames
+            both = sinks.latest(spark.read.schema(batch.schema).parquet(path).unionByName(new), key, [order])
+        done = sinks.written(both, "upsert")
+        sinks.replace_table(done, path)
+        sinks.discard(done)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

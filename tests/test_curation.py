@@ -93,6 +93,8 @@ def test_graph(spark):
     assert {tuple(r) for r in graph.integrity(nodes, bad).collect()} == {("repeated_edge", "edge_1"), ("unknown_node", "edge_1")}
     members = spark.createDataFrame([(1, "p"), (2, "p"), (2, "q"), (3, "q"), (4, None)], "item long, parent string")
     assert {tuple(r) for r in graph.components(members, "item", "parent").collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    chain = spark.createDataFrame([(i, i // 2 * 2) for i in range(1000)] + [(i, -((i + 1) // 2)) for i in range(1, 1001)], "item long, parent long")
+    assert {r["component"] for r in graph.components(chain, "item", "parent").collect()} == {0}
 
 
 def test_stores(spark):

@@ -89,6 +89,29 @@ def test_sinks(spark, tmp_path):
     assert sinks.write_jsonl(df, str(tmp_path / "j"), str(tmp_path / "m")).first()["rows"] == 2
 
 
+def test_merges_don_t_depend_on_order(spark):
+    old = spark.createDataFrame([(1, "x", 0)], "id long, t string, v long")
+    for rows in ([(1, "a", 2), (1, "b", 1)], [(1, "b", 1), (1, "a", 2)]):
+        new = spark.createDataFrame(rows, "id long, t string, v long")
+        assert [r["t"] for r in sinks.merged(old, new, ["id"], order=("v",)).collect()] == ["a"]
+        assert [r["t"] for r in sinks.merged(old, new, ["id"]).collect()] == ["b"]
+
+
+def test_upsert_after_an_end_between_renames(spark, tmp_path):
+    import os
+
+    source = lines(tmp_path / "in", [f'{{"id": {i}, "v": 1, "text": "a"}}' for i in range(5)])
+    table, mark = f"file://{tmp_path}/table", str(tmp_path / "mark")
+    run = lambda: ingest.upsert(ingest.page_stream(spark, source, "id long, v long, text string"), table, mark, ["id"], "v").awaitTermination(120)
+    assert run()
+    os.rename(tmp_path / "table", tmp_path / "table.old-1")  # the old table is away, the new one not yet there
+    spark.range(1).write.parquet(f"{table}.new-2")
+    lines(tmp_path / "in", ['{"id": 9, "v": 1, "text": "c"}'])
+    assert run()
+    assert spark.read.parquet(table).count() == 6
+    assert not [x for x in os.listdir(tmp_path) if x.startswith("table.")]
+
+
 def test_stream_upserts(spark, tmp_path):
     source = lines(tmp_path / "in", ['{"id": 1, "v": 1, "text": "a"}', '{"id": 1, "v": 2, "text": "b"}'])
     table, mark = f"file://{tmp_path}/table", str(tmp_path / "mark")
