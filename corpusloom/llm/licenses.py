@@ -1,7 +1,7 @@
 """Licence scans by canonical digests.
 
 A text is brought to a canonical form - copyright lines out, A-Z lower-cased, equivalent spellings made one, runs of
-punctuation and white space made one space - and its SHA-256 is looked up among those of known licences and
+punctuation and white space made one space, list markers out - and its SHA-256 is looked up among those of known licences and
 notices. Whole texts are hash-joined to the digests; the lines of a text that can hold a notice are looked up one
 by one. Column expressions do it all: there is one scan and no shuffle.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,11 @@ GPL_NOTICE = """This program is free software: you can redistribute it and/or mo
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
 
+#: Whole texts as their stewards publish them, a file a licence.
+WHOLE = Path(__file__).parent / "licence_texts"
+#: What follows in a published text, how to apply it, is often left out.
+END = "END OF TERMS AND CONDITIONS"
+
 TEXTS = {
     "MIT": MIT,
     "ISC": ISC,
@@ -118,6 +124,8 @@ SPELLINGS = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Copyright is followed by (c), a year, or a sign (a space by now, between two).
 COPYRIGHT_LINES = r"(^|\n)[ \t#*/;%-]*(copyright([ \t]*(\(c\)|[0-9])|[ \t]{3})|\(c\)|all rights reserved)[^\n]*"
+#: Numbers and letters of list items, which some copies replace by bullets.
+MARKERS = r"(^|\n)[ \t#*/;%-]*\(?([0-9]{1,2}|[a-z])[.)][ \t]+"
 BETWEEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: Every known text and notice holds one of these once A-Z are lower-cased; lines without can't be one.
 KEYS = ("licens", "licenc", "spdx", "released", "distributed", "public", "redistribut", "permission")
@@ -141,23 +149,38 @@ def notices() -> dict[str, tuple[str, ...]]:
 def canonical(text: str) -> str:
     x = text.translate(str.maketrans(UPPER, LOWER)).translate(str.maketrans(dict.fromkeys(SIGNS, " ")))
     x = re.sub(COPYRIGHT_LINES, r"\1", x)
+    x = re.sub(MARKERS, r"\1", x)
     for a, b in SPELLINGS:
         x = x.replace(a, b)
     return re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", x).strip(" ")
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the published texts: whole, and up to the end of their terms with and without the line that says so."""
+    found = []
+    for path in sorted(WHOLE.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        found.append((path.stem, text))
+        if END in text:
+            terms = text[: text.index(END)]
+            found += [(path.stem, terms + END), (path.stem, terms)]
+    return found
+
+
 @cache
 def catalogue() -> tuple[tuple[str, str], ...]:
     """(digest, licence) of all known texts and notices; where two have one canonical form, the first."""
     found: dict[str, str] = {}
-    for licence, text in [*TEXTS.items(), *((i, f"{x}\n\n{TEXTS[i]}") for i, own in TITLES.items() for x in own), *((i, t) for i, ts in notices().items() for t in ts)]:
-        found.setdefault(hashlib.sha256(canonical(text).encode()).hexdigest(), licence)
+    # On one line the items of a list keep their markers, so each text is known in that form as well.
+    for licence, text in [*TEXTS.items(), *whole_texts(), *((i, f"{x}\n\n{TEXTS[i]}") for i, own in TITLES.items() for x in own), *((i, t) for i, ts in notices().items() for t in ts)]:
+        for form in (text, " ".join(text.split())):
+            found.setdefault(hashlib.sha256(canonical(form).encode()).hexdigest(), licence)
     return tuple(found.items())
 
 
 def canonical_column(text: F.Column) -> F.Column:
     x = F.translate(F.translate(text, UPPER, LOWER), SIGNS, " " * len(SIGNS))
-    x = F.regexp_replace(x, COPYRIGHT_LINES, "$1")
+    x = F.regexp_replace(F.regexp_replace(x, COPYRIGHT_LINES, "$1"), MARKERS, "$1")
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(x, BETWEEN, " "))
@@ -170,7 +193,8 @@ def digest_column(text: F.Column) -> F.Column:
 def _canonical_sql(x: str) -> str:
     lit = lambda s: "'" + s.replace("'", "''") + "'"
     x = f"translate(translate({x}, '{UPPER}', '{LOWER}'), {lit(SIGNS)}, '{' ' * len(SIGNS)}')"
-    x = f"regexp_replace({x}, {lit(COPYRIGHT_LINES)}, '\\1', 'g')"
+    for pattern in (COPYRIGHT_LINES, MARKERS):
+        x = f"regexp_replace({x}, {lit(pattern)}, '\\1', 'g')"
     for a, b in SPELLINGS:
         x = f"replace({x}, {lit(a)}, {lit(b)})"
     return f"trim(regexp_replace({x}, {lit(BETWEEN)}, ' ', 'g'), ' ')"
@@ -182,8 +206,8 @@ def _canonical_sql(x: str) -> str:
 def licensed(docs: DataFrame) -> DataFrame:
     """doc_id, text_digest, license_id (of the whole text, or null), line_licenses (those of its lines, sorted, joined by commas; or empty).
 
-    Null text: as empty, whose digest no licence has. Null doc_id: returned as null. Repeated rows: a row each.
-    Other columns are ignored. No rows: no rows.
+    Null text: as empty, whose digest no licence has. Very long texts are read whole. Null doc_id: returned as null.
+    Repeated rows: a row each. Other columns are ignored. No rows: no rows.
     """
     spark = docs.sparkSession
     known = spark.createDataFrame(list(catalogue()), "text_digest string, license_id string")

@@ -68,3 +68,19 @@ def test_every_text_has_a_key_and_is_found_on_a_line(spark):
     data = [(n, "prose before\n" + t.replace("\n", " ") + "\nprose after") for n, t in enumerate(lc.TEXTS.values())]
     got = {r["doc_id"]: r["line_licenses"] for r in lc.licensed(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert [got[n] for n in range(len(data))] == list(lc.TEXTS)
+
+
+def test_bullets_titles_and_whole_texts(spark):
+    import re
+
+    head = "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n"
+    bullets = re.sub(r"(?m)^\d\. ", "* ", lc.TEXTS["BSD-3-Clause"])
+    data, want = [(0, bullets), (1, head + bullets), (2, head + lc.TEXTS["BSD-3-Clause"])], ["BSD-3-Clause"] * 3
+    whole = dict((i, t) for i, t in reversed(lc.whole_texts()))
+    for i, text in whole.items():
+        for form in (text, "\n\n" + text.replace("\n", "\r\n"), text.replace("https://", "http://").replace("  ", " "), text[: text.index(lc.END)] if lc.END in text else text):
+            data.append((len(data), form))
+            want.append(i)
+    got = {r["doc_id"]: r["license_id"] for r in lc.licensed(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(want))] == want
+    assert set(whole) == {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
