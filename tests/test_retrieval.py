@@ -147,6 +147,24 @@ def test_whole_plan(spark):
     assert {r["doc_id"] for r in answers.retrieve(d, v, pair, plan).where("rank <= 2").collect()} == {5, 7}
 
 
+def test_variants_have_vectors_of_their_own(spark):
+    d, v, q = small(spark)
+    plan = answers.Baseline(pattern=r"^(.{3,}?) vs (.{3,})$", dense=3, shown=12)
+    pair = q.where("query_id = 1").withColumn("text", F.lit("thing5 vs thing7"))
+    of = lambda t: F.array(F.when(t.contains("thing7"), 3.0).otherwise(1.0).cast("float"), F.lit(1.0).cast("float"))
+    found = lambda **how: {r["doc_id"] for r in answers.retrieve(d, v, pair, plan, **how).collect()}
+    assert found() == {1, 5, 7, 9} and found(embed=of) == {1, 3, 5, 7, 9, 11}
+
+
+def test_recovery_of_many_targets(spark):
+    d, v, q = small(spark)
+    base = spark.createDataFrame([(k, 1, 1, 0.1) for k in (1, 2)], "query_id long, doc_id long, rank int, score double")
+    plan = spark.createDataFrame([(1, n, f"absent{n}") for n in range(20)] + [(1, 20, "thing7")], "query_id long, target_no int, text string")
+    questions = spark.createDataFrame([(1, "thing7"), (2, "thing7")], "query_id long, text string")
+    got = answers.recover(base, plan, lambda x: lexical.bm25(d, x, 5), questions, d, 3)
+    assert {(r["query_id"], r["doc_id"]) for r in got.where("inserted").collect()} == {(1, 7)}
+
+
 def test_recovery(spark):
     d, v, q = small(spark)
     base = lexical.bm25(d, q.select("query_id", "text").where("query_id = 1"), 10)
