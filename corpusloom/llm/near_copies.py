@@ -5,7 +5,10 @@ blocks of 15 bits; of similar texts some 15 % of the bits differ. Texts that dif
 differ in at most 2 in one of the blocks, and most pairs beyond do. Anchors of a block are the words of the
 Hamming code of length 15 (covering radius 1). The block halfway between two texts' has its home anchor within 2 of both,
 so a text is dealt to the anchors within 2 (8 at most) and meets its partners there. Sizes of similar sets lie in
-one or two neighbouring classes of ratio 1.25, which deal anchors further. Pairs of ``MOST`` differing bits or fewer are candidates.
+one or two neighbouring classes of ratio 1.25, which deal anchors further. Pairs of ``MOST`` differing bits or fewer are candidates,
+unless their odd sketches tell them apart: each bit is the parity of the shingles that fall on it, so two sketches differ in no more bits than
+the sets in shingles, and a pair beyond the difference that ``SIMILARITY`` allows is surely none. Of texts of some 200 shingles
+or fewer this leaves few pairs that fail; of longer ones it leaves more and still loses none.
 
 Dense groups don't give all their pairs: first the spanning links of 3 bits or fewer are verified. Then, for each pair of
 ``FIRST`` blocks, each group gives its nearest partner at each anchor alone, and what is verified joins groups. Only pairs
@@ -34,6 +37,9 @@ BLOCKS = 8
 RADIUS = BLOCKS * (BLOCK_THRESHOLD + 1) - 1
 MOST = 36
 CELLS = 4_000_000
+SKETCH = 128
+#: Share of the shingles of two similar sets that one set alone holds, at most.
+ALLOWED = (1 - SIMILARITY) / (1 + SIMILARITY)
 #: Blocks of the rounds in which each group looks for its nearest partner alone, in its own size class.
 FIRST = ((0, 1), (4, 5))
 
@@ -68,6 +74,12 @@ def mingled(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Two words of ``SKETCH`` bits: of distinct ``hashes`` the parity of those that fall on each."""
+    parity = np.bincount((mingled(hashes) >> np.uint64(57)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     if not len(a) or not len(b):
         return len(a) == len(b)
@@ -84,11 +96,13 @@ def _prints(rows: DataFrame) -> DataFrame:
         def f(batch):
             made = [shingles(t) for t in texts(batch)]
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            return {"node": batch.column("node"), "fp": signed([majority(s) for s in made]), "fp2": signed([majority(mingled(s)) for s in made]), "n": pa.array([len(s) for s in made], pa.int32())}
+            odd = np.array([odd_sketch(s) for s in made], np.uint64).reshape(-1, 2)
+            own = {"fp": signed([majority(s) for s in made]), "fp2": signed([majority(mingled(s)) for s in made]), "odd": signed(odd[:, 0]), "odd2": signed(odd[:, 1])}
+            return {"node": batch.column("node")} | own | {"n": pa.array([len(s) for s in made], pa.int32())}
 
         return f
 
-    return arrow_map(rows, "node long, fp long, fp2 long, n int", make, 256)
+    return arrow_map(rows, "node long, fp long, fp2 long, odd long, odd2 long, n int", make, 256)
 
 
 # -- search ---------------------------------------------------------------------------------------------------
@@ -136,8 +150,8 @@ def _block(fp: np.ndarray, fp2: np.ndarray, block: int) -> np.ndarray:
     return (((fp, fp2)[block // 4] >> np.uint64(block % 4 * LENGTH)) & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
 
 
-def _met(key: int, nearest: bool, own: np.ndarray, fp: np.ndarray, fp2: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one key that differ in ``MOST`` bits at most, of sizes that can be similar, and in two groups.
+def _met(key: int, nearest: bool, own: np.ndarray, fp: np.ndarray, fp2: np.ndarray, odd: np.ndarray, odd2: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one key that differ in ``MOST`` bits at most, of sizes and sketches that can be similar, and in two groups.
 
     A pair that surely meets in an earlier block isn't given again, nor one of equal words but at one of their anchors.
     ``nearest``: of each group the nearest pair alone, of equally near ones that of the least nodes.
@@ -146,7 +160,7 @@ def _met(key: int, nearest: bool, own: np.ndarray, fp: np.ndarray, fp2: np.ndarr
     values, counts = np.unique(root, return_counts=True)
     if len(values) == 1 or not own.any():
         return
-    fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
+    fp, fp2, odd, odd2 = (x.view(np.uint64) for x in (fp, fp2, odd, odd2))
     large = root == values[counts.argmax()]  # a group that fills the key isn't compared with itself
     for x, y in ((np.flatnonzero(large), np.flatnonzero(own & ~large)), (np.flatnonzero(~large), np.flatnonzero(own))):
         x = x[np.argsort(root[x], kind="stable")]
@@ -158,6 +172,8 @@ def _met(key: int, nearest: bool, own: np.ndarray, fp: np.ndarray, fp2: np.ndarr
             bits, i, j = bits[i, j], z[i], y[j]
             fit = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]) - 1e-9)
             bits, i, j = bits[fit], i[fit], j[fit]
+            fit = np.bitwise_count(odd[i] ^ odd[j]).astype(np.int64) + np.bitwise_count(odd2[i] ^ odd2[j]) <= ALLOWED * (n[i].astype(np.int64) + n[j]) + 1e-9
+            bits, i, j = bits[fit], i[fit], j[fit]
             if not nearest:
                 p, q = fp[i] ^ fp[j], fp2[i] ^ fp2[j]
                 first = (_block(p, q, block) > 0) | (np.bitwise_count(_block(fp[i], fp2[i], block) ^ anchor) <= 1)
@@ -173,11 +189,11 @@ def _met(key: int, nearest: bool, own: np.ndarray, fp: np.ndarray, fp2: np.ndarr
 
 
 def candidates(nodes: DataFrame, blocks: tuple[int, ...] = tuple(range(BLOCKS)), nearest: bool = False) -> DataFrame:
-    """(a, b): pairs of ``nodes`` (node, fp, fp2, n, root) that meet at an anchor within ``MOST`` bits, of sizes that can be similar, whose roots differ.
+    """(a, b): pairs of ``nodes`` (node, fp, fp2, odd, odd2, n, root) that meet at an anchor within ``MOST`` bits, of sizes and sketches that can be similar, whose roots differ.
 
     ``nearest``: at each anchor of the ``blocks``, each group's nearest pair within its size class alone.
     """
-    names = ("fp", "fp2", "n", "node", "root")
+    names = ("fp", "fp2", "odd", "odd2", "n", "node", "root")
 
     def make():
         def f(batch):
@@ -187,7 +203,7 @@ def candidates(nodes: DataFrame, blocks: tuple[int, ...] = tuple(range(BLOCKS)),
 
         return f
 
-    rows = arrow_map(only(nodes, *names), "key long, own boolean, fp long, fp2 long, n int, node long, root long", make, 2_000)
+    rows = arrow_map(only(nodes, *names), "key long, own boolean, fp long, fp2 long, odd long, odd2 long, n int, node long, root long", make, 2_000)
     rows = rows.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,3 +92,16 @@ def test_edges(spark):
     assert nc.near_copies(frame(spark).limit(0)).count() == 0
     found = nc.near_copies(frame(spark)).collect()
     assert len({r["node"] for r in found}) == len(found)
+
+
+def test_odd_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    for n, change in ((1, 0), (5, 1), (146, 16), (146, 50), (900, 100), (900, 900)):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[change:], rng.integers(0, 2**64, change, dtype=np.uint64)]))
+        apart = int(np.bitwise_count(nc.odd_sketch(a) ^ nc.odd_sketch(b)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+        assert not nc.similar(a, b) or apart <= nc.ALLOWED * (len(a) + len(b)) + 1e-9
+    a, b = (np.unique(rng.integers(0, 2**64, 146, dtype=np.uint64)) for _ in range(2))
+    assert np.bitwise_count(nc.odd_sketch(a) ^ nc.odd_sketch(b)).sum() > nc.ALLOWED * 292  # unlike sets are told apart
+    assert not nc.odd_sketch(np.zeros(0, np.uint64)).any()
