@@ -23,6 +23,8 @@ K = 16
 WINDOW = 32
 BLOCK = 1 << 20
 BUCKET_BYTES = 8 << 20
+#: Ranges of doc_id at most: what the driver holds and sends. Beyond ``MAX_RANGES * BUCKET_BYTES`` of text ranges grow, and their sort spills.
+MAX_RANGES = 16_384
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -120,44 +122,60 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def beside_next(docs: DataFrame, columns: str, make, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _range_of(bounds: np.ndarray, shares: np.ndarray, ids: np.ndarray, ties: list[str]) -> np.ndarray:
+    """The range of each (id, digest). A bound that stands for several quantiles is an id of many rows: its digests make as many ranges."""
+    at = np.searchsorted(bounds, ids)
+    first = np.concatenate([[0], np.cumsum(shares)])[at]
+    inner = np.flatnonzero(at < len(bounds))
+    for i in inner[(shares[at[inner]] > 1) & (bounds[at[inner]] == ids[inner])].tolist():
+        first[i] += int(ties[i][:8], 16) * int(shares[at[i]]) >> 32
+    return first
+
+
+def beside_next(docs: DataFrame, columns: str, make, bucket_bytes: int = BUCKET_BYTES, max_ranges: int = MAX_RANGES) -> DataFrame:
     """Rows of ``make()(text, state, next text, next state)`` for each document and the next by descending doc_id.
 
-    Documents are dealt by ranges of doc_id whose bounds are quantiles; the first document of each range also
+    Documents are dealt by ranges of doc_id whose bounds are quantiles, ``max_ranges`` at most; rows of one id that
+    fill several ranges (rows without ids, say) are dealt by their text's digest. The first document of each range also
     goes to the range before it (the very first to the last range), so the text moves once and no task sees all
-    rows. ``make`` gives (state of a text, row of a pair); a state is made once for each text of a range.
+    rows, but for repeated rows, which are of one range. ``make`` gives (state of a text, row of a pair); a state is made once for each text of a range.
     """
     spark = docs.sparkSession
     own = only(docs, "doc_id", "text")
-    ids = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.octet_length("text").alias("b"))
+    ids = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.octet_length("text").alias("b"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
     total = ids.agg(F.sum("b")).first()[0] or 0
-    n = max(1, -(-total // bucket_bytes))
-    bounds = sorted({int(x) for x in ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []  # n values
-    sent = spark.sparkContext.broadcast(np.array(bounds, np.int64))
+    n = min(max_ranges, max(1, -(-total // bucket_bytes)))
+    cuts = ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []  # n values
+    bounds, shares = np.unique(np.array(cuts, np.float64).astype(np.int64), return_counts=True)
+    many = bool((shares > 1).any())  # else no text is read for its digest here
 
     def heads_of():
-        return lambda batch: {"bucket": pa.array(np.searchsorted(sent.value, x := batch.column(0).to_numpy())), "id": pa.array(x)}
+        return lambda batch: {"bucket": pa.array(_range_of(bounds, shares, batch.column("id").to_numpy(), batch.column("tie").to_pylist())), "id": batch.column("id"), "tie": batch.column("tie")}
 
-    heads = {r["bucket"]: r["id"] for r in arrow_map(ids.select("id"), "bucket long, id long", heads_of, 10_000).groupBy("bucket").agg(F.max("id").alias("id")).collect()}  # a row a bucket
+    tied = ids.select("id", "tie" if many else F.lit("0").alias("tie"))
+    firsts = arrow_map(tied, "bucket long, id long, tie string", heads_of, 10_000).groupBy("bucket").agg(F.max(F.struct("id", "tie")).alias("first")).collect()  # a row a range
+    heads = {r["bucket"]: tuple(r["first"]) for r in firsts}
     order = sorted(heads)
-    guests = {heads[b]: after for b, after in zip(order, order[1:])} | ({heads[order[-1]]: order[0]} if len(order) > 1 else {})
-    if len(order) == 1:
-        guests = {heads[order[0]]: order[0]}
+    guests = {heads[b]: after for b, after in zip(order, [*order[1:], *order[:1]])}
+    sent = spark.sparkContext.broadcast((bounds, shares, guests))
 
     def deal():
         squeeze = zstandard.ZstdCompressor(level=1).compress
+        bounds, shares, guests = sent.value
 
         def f(batch):
+            raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            ties = [hashlib.md5(raw, usedforsecurity=False).hexdigest() for raw in raws]
+            doc_ids = batch.column("doc_id").to_pylist()
+            keys = [NULL_ID if doc is None else doc for doc in doc_ids]
             out = {"bucket": [], "guest": [], "id": [], "tie": [], "z": [], "null": []}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                key = NULL_ID if doc is None else doc
-                row = (key, hashlib.md5(raw, usedforsecurity=False).hexdigest(), squeeze(raw), doc is None)
-                to = [(int(np.searchsorted(sent.value, key)), False)]
-                if key in guests:
-                    to.append((guests[key], True))
-                for bucket, guest in to:
-                    for c, v in zip(out, (bucket, guest, *row)):
+            for bucket, key, tie, raw, doc in zip(_range_of(bounds, shares, np.array(keys, np.int64), ties).tolist(), keys, ties, raws, doc_ids):
+                row = (key, tie, squeeze(raw), doc is None)
+                to = [(bucket, False)]
+                if (head := (key, tie if many else "0")) in guests:
+                    to.append((guests[head], True))
+                for to_bucket, guest in to:
+                    for c, v in zip(out, (to_bucket, guest, *row)):
                         out[c].append(v)
             return out
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from llm_cases import empty, frame, rows, simple
+from pyspark import TaskContext
 
 from corpusloom.llm import winnowing as wn
 
@@ -77,3 +78,19 @@ def test_one_row_no_rows_and_extra_columns(spark):
     prints = wn.fingerprints(frame(spark)).collect()
     assert len(prints) == len(rows()) and all(len(r["hashes"]) == len(r["positions"]) for r in prints)
     assert np.isfinite(len(prints))
+
+
+def test_many_rows_without_ids_are_dealt_by_their_texts(spark):
+    data = [(None if i % 3 else i, f"text {i % 400} " + "abc " * (i % 7)) for i in range(600)] + [(7, f"seven {i}") for i in range(150)]
+    seen = []
+    for most in (5, 64):
+        own = simple(spark, data)
+        made = wn.beside_next(own, "part long, text string, following string", lambda: (lambda t: None, lambda t, _, after, __: (TaskContext.get().partitionId(), t, after)), 100, most).collect()
+        seen.append(len({r["part"] for r in made if r["doc_id"] is None}))
+        order = sorted(data, key=lambda r: (-(2**63) if r[0] is None else r[0], hashlib.md5(r[1].encode()).hexdigest()), reverse=True)
+        want = [(*a, b[1]) for a, b in zip(order, order[1:] + order[:1])]
+        assert sorted(((r["doc_id"], r["text"], r["following"]) for r in made), key=str) == sorted(want, key=str)
+    assert seen[0] > 1 and seen[1] > 8
+    bounds, shares = np.array([-5, 3]), np.array([1, 4])
+    at = wn._range_of(bounds, shares, np.array([-9, -5, 2, 3, 3, 3, 8]), ["0" * 32, "f" * 32, "f" * 32, "0" * 32, "8" + "0" * 31, "f" * 32, "0" * 32])
+    assert at.tolist() == [0, 0, 1, 1, 3, 4, 5]
