@@ -34,7 +34,9 @@ def numbered(column: pa.Array, lower: bool = False, ascii: bool = False) -> tupl
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if lower:
         column = pc.utf8_lower(column)
-    split = (pc.ascii_split_whitespace if ascii else pc.utf8_split_whitespace)(column)
+    # Arrow decodes the character behind white space at a text's end; behind the last text there must be one of ours.
+    column = pa.concat_arrays([column, pa.array(["-"], pa.large_string())])
+    split = (pc.ascii_split_whitespace if ascii else pc.utf8_split_whitespace)(column)[:-1]
     found = split.flatten().dictionary_encode()
     places, words = found.indices.to_numpy(), found.dictionary
     offsets = split.offsets.to_numpy().astype(np.int64)

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -35,6 +36,15 @@ def test_words_as_python_splits(texts, lower, most):
     assert got == [((t or "").lower() if lower else (t or "")).split() for t in texts]
 
 
+@pytest.mark.parametrize("behind", [b"", b"\xff\xff\xff", b"\x80", b"\xe3\x80", b" \xff", b"b"])
+@pytest.mark.parametrize("text", ["", "a", "a b\u3000", "a \u3000", " \n\u3000"])
+def test_bytes_behind_the_last_text_do_not_count(text, behind):
+    raw = text.encode()
+    column = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(raw)])), pa.py_buffer(raw + behind)])
+    places, found, ends = w.numbered(column)
+    assert [found[p].as_py() for p in places] == text.split() and ends.tolist() == [len(text.split())]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(ALPHABET, max_size=40), max_size=8), st.integers(0, 9))
 def test_hashes_as_a_polynomial(texts, seed):
