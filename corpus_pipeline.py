@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import line_dedup, mixing, near_copies, packing, quality
-from corpusloom.llm.common import only, table, written
+from corpusloom.llm.common import few, only, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = ("text", "lang", "source", "n_chars")
@@ -51,9 +51,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")
     seen = ids.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     if seen["rows"] == seen["ids"]:
-        # Every row has an id of its own: only ids meet the texts, and where few enough go they are broadcast.
-        least = ids.groupBy("root").agg(F.min("doc_id").alias("least"))
-        return only(docs.join(ids.join(least, "root").where("doc_id <> least").select("doc_id"), "doc_id", "left_anti"), *COLUMNS)
+        # Every row has an id of its own: only ids meet the texts, those that go, and where they are few enough they are broadcast.
+        least = ids.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
+        gone = written(ids.select("doc_id").join(least.select("doc_id"), "doc_id", "left_anti"), "pipeline-gone")
+        return only(docs.join(few(gone), "doc_id", "left_anti"), *COLUMNS)
     least = ids.groupBy("root").agg(F.min(rank).alias("least"))
     whole = rooted.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("node") == F.col("least.node")))
     return only(whole.dropDuplicates(["root"]), *COLUMNS)

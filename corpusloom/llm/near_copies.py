@@ -8,16 +8,19 @@ so a text is dealt to the anchors within 2 (8 at most) and meets its partners th
 one or two neighbouring classes of ratio 1.25, which deal anchors further. Pairs of ``MOST`` differing bits or fewer are candidates,
 unless their odd sketches tell them apart: each bit is the parity of the shingles that fall on it, so two sketches differ in no more bits than
 the sets in shingles, and a pair beyond the difference that ``SIMILARITY`` allows is surely none. Of texts of some 200 shingles
-or fewer this leaves few pairs that fail; of longer ones it leaves more and still loses none.
+or fewer this leaves few pairs that fail; of longer ones it leaves more and still loses none. Before sets are joined, their ``load``, the
+counts of their shingles in buckets (some 4 to 8 in each), drops pairs by the same bound at any length: counts differ by no more than the sets.
 
 Dense groups don't give all their pairs: first the spanning links of 3 bits or fewer are verified. Then, for each pair of
 ``FIRST`` blocks, each group gives its nearest partner at each anchor alone, and what is verified joins groups. Only pairs
-whose ends aren't in one group by then are searched in whole.
+whose ends aren't in one group by then are searched in whole, ``WIDE`` blocks at a time, so that the files of one search are gone
+before the next. Texts stay where they are unless they are of a pair that may be similar.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_map, only, texts, written
+from corpusloom.llm.common import arrow_map, discard, few, files_released, only, texts, written
 from corpusloom.llm.components import components
 from corpusloom.llm.simhash import BITS, SEED, links
 
@@ -42,6 +45,8 @@ SKETCH = 128
 ALLOWED = (1 - SIMILARITY) / (1 + SIMILARITY)
 #: Blocks of the rounds in which each group looks for its nearest partner alone, in its own size class.
 FIRST = ((0, 1), (4, 5))
+#: Blocks that are searched in whole together.
+WIDE = ((0, 1), (2, 3), (4, 5), (6, 7))
 
 # -- sets and fingerprints ------------------------------------------------------------------------------------
 
@@ -80,6 +85,21 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def load(hashes: np.ndarray) -> bytes:
+    """Their number (four bytes), and how many of the ``hashes`` (255 at most) fall in each of a power of two of buckets, by their first bits."""
+    bits = max(0, len(hashes).bit_length() - 3)
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(hashes)])
+    return len(hashes).to_bytes(4, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether sets of these loads (as bytes) may be similar: in the fewer buckets of the two, counts differ by no more than the sets."""
+    n = sum(int.from_bytes(x[:4].tobytes(), "little") for x in (a, b))
+    buckets = min(len(a), len(b)) - 4
+    x, y = (np.minimum(v[4:].astype(np.int64).reshape(buckets, -1).sum(axis=1), 255) for v in (a, b))
+    return int(np.abs(x - y).sum()) <= ALLOWED * n + 1e-9
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     if not len(a) or not len(b):
         return len(a) == len(b)
@@ -98,11 +118,11 @@ def _prints(rows: DataFrame) -> DataFrame:
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             odd = np.array([odd_sketch(s) for s in made], np.uint64).reshape(-1, 2)
             own = {"fp": signed([majority(s) for s in made]), "fp2": signed([majority(mingled(s)) for s in made]), "odd": signed(odd[:, 0]), "odd2": signed(odd[:, 1])}
-            return {"node": batch.column("node")} | own | {"n": pa.array([len(s) for s in made], pa.int32())}
+            return {"node": batch.column("node")} | own | {"n": pa.array([len(s) for s in made], pa.int32()), "load": [load(s) for s in made]}
 
         return f
 
-    return arrow_map(rows, "node long, fp long, fp2 long, odd long, odd2 long, n int", make, 256)
+    return arrow_map(rows, "node long, fp long, fp2 long, odd long, odd2 long, n int, load binary", make, 256)
 
 
 # -- search ---------------------------------------------------------------------------------------------------
@@ -234,37 +254,61 @@ def candidates(nodes: DataFrame, blocks: tuple[int, ...] = tuple(range(BLOCKS)),
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose texts are similar. Sets are made once a node, of the nodes in pairs alone."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    found = only(docs, "text").select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    make = lambda: lambda b: {"node": b.column("node"), "raw": [shingles(t).tobytes() for t in texts(b)]}
-    sets = written(arrow_map(found, "node long, raw binary", make, 256), "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("raw").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("raw").alias("y")), "b").select("a", "b", "x", "y")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return few(written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-ends"))
+
+
+def _both(pairs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``pairs`` with ``name`` of both ends, as x and y."""
+    end = lambda c, to: found.select(F.col("node").alias(c), F.col(name).alias(to))
+    return pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").select("a", "b", "x", "y")
+
 
+def _kept(both: DataFrame, kind: type, test) -> DataFrame:
     def check():
         def f(batch):
-            own = lambda c: [np.frombuffer(r, np.uint64) for r in batch.column(c).to_pylist()]
-            return {"a": batch.column("a"), "b": batch.column("b"), "ok": [similar(x, y) for x, y in zip(own("x"), own("y"))]}
+            own = lambda c: [np.frombuffer(r, kind) for r in batch.column(c).to_pylist()]
+            return {"a": batch.column("a"), "b": batch.column("b"), "ok": [test(x, y) for x, y in zip(own("x"), own("y"))]}
 
         return f
 
     return arrow_map(both, "a long, b long, ok boolean", check, 256).where("ok").select("a", "b")
 
 
+def likely(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose loads don't rule out that their sets are similar."""
+    loads = prints.select("node", "load").join(_ends(pairs), "node", "left_semi")
+    return _kept(_both(pairs, loads, "load"), np.uint8, alike)
+
+
+def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose texts are similar. Sets are made once a node, of the nodes in likely pairs alone."""
+    pairs = written(likely(prints, pairs), "near-likely")
+    found = only(docs, "text").select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    make = lambda: lambda b: {"node": b.column("node"), "raw": [shingles(t).tobytes() for t in texts(b)]}
+    sets = written(arrow_map(found, "node long, raw binary", make, 256), "near-sets")
+    return _kept(_both(pairs, sets, "raw"), np.uint64, similar)
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(node, root) of each distinct text that has a near copy: ``node`` is ``xxhash64`` of the text (null: empty), ``root`` its group's least node.
 
     Groups are connected by similarities of ``SIMILARITY`` or more. Texts without words are alike. No rows: no rows.
     """
+    with files_released(docs.sparkSession):
+        return _near_copies(docs)
+
+
+def _near_copies(docs: DataFrame) -> DataFrame:
     # Of repeated texts one is read: hashes are dealt, texts stay where they are.
     every = written(_prints(only(docs, "text").select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))), "near-prints")
-    prints = written(every.distinct(), "near-nodes")
+    prints = written(every.dropDuplicates(["node"]), "near-nodes")
+    discard(every)
     least = prints.groupBy("fp").agg(F.min("node").alias("first"))
     same = prints.join(least, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     close = links(prints.select("fp").distinct()).toDF("p", "q").distinct()
     close = close.join(least.toDF("p", "a"), "p").join(least.toDF("q", "b"), "q").select("a", "b")
-    sure = written(verified(docs, written(same.unionByName(close), "near-close")), "near-sure")
+    sure = written(verified(docs, prints, written(same.unionByName(close), "near-close")), "near-sure")
 
     def grouped(links: DataFrame) -> DataFrame:
         roots = written(components(links, "near-groups"), "near-roots")
@@ -272,6 +316,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     for blocks in FIRST:
         near = written(candidates(grouped(sure), blocks, nearest=True), "near-next")
-        sure = written(sure.unionByName(verified(docs, near)), "near-sure")
-    more = verified(docs, written(candidates(grouped(sure)), "near-wide"))
+        sure = written(sure.unionByName(verified(docs, prints, near)), "near-sure")
+    left = grouped(sure)
+    wide = [written(candidates(left, blocks), "near-wide") for blocks in WIDE]
+    more = verified(docs, prints, written(reduce(DataFrame.unionByName, wide).distinct(), "near-wide"))
     return written(components(sure.unionByName(more), "near-all"), "near-found")
