@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import coverage, tokens
 from corpusloom.operators.lexical import top_k
 from corpusloom.operators.scan import running_sums
+from corpusloom.sources.sinks import written
 
 RRF_K = 60
 
@@ -101,15 +102,19 @@ def gate(rankings: DataFrame, queries: DataFrame, sufficient: float, related: fl
 def calibrate(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row, (threshold, balanced): the score at which accuracy balanced over the two labels is largest; ties to the higher.
 
-    Rows at or above a threshold count as positive. Counts are summed by score first, so the running sums see each
-    distinct score once.
+    Rows at or above a threshold count as positive, NaN is above all numbers. Rows without a score are positive at no
+    threshold but count among their label's; where there are any, a null threshold (none is positive) competes, after
+    all others. Counts are summed by score first, so the running sums see each distinct score once.
     """
-    by = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("int")).alias("p"), F.sum(1 - F.col(label).cast("int")).alias("n"))
+    kind = F.col(label).cast("int")
+    by = scored.groupBy(F.col(score).alias("threshold")).agg(F.count_if(kind == 1).alias("p"), F.count_if(kind == 0).alias("n"))
+    by = written(by, "scores")
     total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    by = running_sums(by, "threshold", {"tp": "p", "fp": "n"}, descending=True)
+    none = by.where("threshold is null").select("threshold", F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
+    by = running_sums(by.where("threshold is not null"), "threshold", {"tp": "p", "fp": "n"}, descending=True).select("threshold", "tp", "fp").unionByName(none)
     by = by.join(F.broadcast(total))  # one row
     rate = (F.coalesce(F.col("tp") / F.nullif("all_p", F.lit(0)), F.lit(0.0)) + 1 - F.coalesce(F.col("fp") / F.nullif("all_n", F.lit(0)), F.lit(0.0))) / 2
-    return by.select("threshold", F.round(rate, 6).alias("balanced")).orderBy(F.desc("balanced"), F.desc("threshold")).limit(1)
+    return by.select("threshold", F.round(rate, 6).alias("balanced")).orderBy(F.desc("balanced"), F.desc_nulls_last("threshold")).limit(1)
 
 
 def support_gated(base: DataFrame, targeted: DataFrame, k: int, margin: float = 0.0, most: int = 2, seen: int = 5) -> DataFrame:

@@ -212,7 +212,9 @@ b AS (SELECT threshold, round((coalesce((SELECT count(*) FROM x WHERE label = 1
 SELECT threshold, balanced FROM b ORDER BY balanced DESC, threshold DESC LIMIT 1""")
 def threshold_calibration(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    rows = rows.select(F.round(F.regexp_count("text", F.lit("[*$%&#!|]")) / F.length("text"), 3).alias("score"), (1 - F.col("quality")).alias("label"))
+    n = F.length("text")
+    score = F.when(n == 0, float("nan")).otherwise(F.regexp_count("text", F.lit("[*$%&#!|]")) / n)  # 0 / 0 is an error in ANSI mode
+    rows = rows.select(F.round(score, 3).alias("score"), (1 - F.col("quality")).alias("label"))
     return fusion.calibrate(rows)
 
 

@@ -88,6 +88,27 @@ def test_gate_and_calibration(spark):
     assert fusion.calibrate(tie).first()["threshold"] == 0.3
 
 
+def test_threshold_of_empty_texts(spark, tmp_path):
+    """An empty text has the score 0 / 0, which is above all numbers; a null text none."""
+    import duckdb
+
+    from corpusloom.queries import evaluation
+
+    for texts, labels in (
+        ([(0, ""), (1, "!!"), (2, "abc"), (3, "")], [(0, 0), (1, 0), (2, 1), (3, 0)]),
+        ([(0, None), (1, "!!"), (2, "a!c"), (3, None)], [(0, 0), (1, 1), (2, None), (3, 1)]),
+        ([(0, None), (1, "abc")], [(0, 0), (1, 1)]),
+        ([(0, None), (1, None)], [(0, 0), (1, 1)]),
+    ):
+        spark.createDataFrame(texts, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        con = duckdb.connect()
+        for t in ("documents", "labels"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        got = [tuple(r) for r in evaluation.threshold_calibration(spark, str(tmp_path)).collect()]
+        assert str(got) == str(con.sql(evaluation.ORACLES["threshold_calibration"]).fetchall())
+
+
 def test_support_gate(spark):
     base = ranked(spark, *[f"old_{i}" for i in range(10)])
     rows = [(1, 0, f"old_{i}", 0.1, 100 + i) for i in range(5)] + [(1, 0, "new", 0.9, 1), (1, 0, "worse", 0.2, 2)]
