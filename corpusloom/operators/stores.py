@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.sources.sinks import spread
+
 
 def recent(messages: DataFrame, key: str, order: str, n: int = 6) -> DataFrame:
     """The last ``n`` messages of each conversation, with their place in reading order."""
@@ -79,12 +81,18 @@ def span_matches(evidence: DataFrame, chunks: DataFrame, least: float = 0.5, nea
 def anchors_repaired(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """anchor, block_id: the block of that id, else the one block of the page that starts or ends with it; none if several do.
 
-    Joined on the page; the pattern is checked within it.
+    Blocks offer their own ends, as long as some anchor is, and anchors look them up: a page's blocks and anchors are
+    never paired. What the ends of one page have in common is counted where they arise.
     """
-    both = anchors.join(blocks, "page", "left")
-    hit = F.when(F.col("block_id") == F.col("anchor"), 0).when(F.startswith("block_id", "anchor") | F.endswith("block_id", "anchor"), 1)
-    both = both.withColumn("hit", hit).groupBy("page", "anchor").agg(F.max(F.when(F.col("hit") == 0, F.col("block_id"))).alias("exact"), F.count_if(F.col("hit") == 1).alias("n"), F.max(F.when(F.col("hit") == 1, F.col("block_id"))).alias("one"))
-    return both.select("page", "anchor", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("block_id"))
+    asked = anchors.select("page", "anchor").distinct()
+    own = spread(blocks.select("page", "block_id"), "block_id")
+    sizes = asked.agg(F.collect_set(F.length("anchor")).alias("sizes"))  # one row, of distinct lengths
+    shorter = F.filter("sizes", lambda n: n < F.length("block_id"))
+    ends = F.array_distinct(F.concat(F.transform(shorter, lambda n: F.left("block_id", n)), F.transform(shorter, lambda n: F.right("block_id", n))))
+    part = own.join(F.broadcast(sizes)).select("page", "block_id", F.explode(ends).alias("anchor")).groupBy("page", "anchor").agg(F.count("*").alias("n"), F.max("block_id").alias("one"))
+    exact = own.select("page", F.col("block_id").alias("anchor"), F.lit(True).alias("exact")).distinct()
+    both = asked.join(exact, ["page", "anchor"], "left").join(part, ["page", "anchor"], "left")
+    return both.select("page", "anchor", F.when(F.col("exact"), F.col("anchor")).when(F.col("n") == 1, F.col("one")).alias("block_id"))
 
 
 def referential(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, issue: str) -> DataFrame:

@@ -316,7 +316,7 @@ x AS (SELECT DISTINCT page, anchor FROM a)
 SELECT page::BIGINT AS page, anchor, coalesce(max(block_id) FILTER (WHERE block_id = anchor), CASE WHEN count(*) FILTER (WHERE block_id <> anchor AND (starts_with(block_id, anchor) OR ends_with(block_id, anchor))) = 1 THEN max(block_id) FILTER (WHERE block_id <> anchor AND (starts_with(block_id, anchor) OR ends_with(block_id, anchor))) END) AS block_id
 FROM x JOIN b USING (page) GROUP BY 1, 2""")
 def anchor_repair(spark, d):
-    s = table(spark, d, "supplier").withColumn("page", F.col("s_nationkey").cast("long"))
+    s = table(spark, d, "supplier").where("s_nationkey is not null").withColumn("page", F.col("s_nationkey").cast("long"))
     name = F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_b"), F.col("s_suppkey").cast("string"))
     anchor = F.when(F.col("s_suppkey") % 3 == 0, name).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("_b"), F.col("s_suppkey").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("page").cast("string")))
     return stores.anchors_repaired(s.select("page", anchor.alias("anchor")).distinct(), s.select("page", name.alias("block_id")))

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
@@ -118,6 +120,17 @@ def test_span_matches_and_anchors(spark):
     assert {r["anchor"]: r["block_id"] for r in stores.anchors_repaired(anchors, blocks).collect()} == {"p1_b1": "p1_b1", "_b2": "p1_b2", "p1": None, "x": None}
 
 
+def test_anchors_are_looked_up(spark):
+    """Blocks that begin and end alike count once, equal blocks twice; a page's blocks and anchors aren't paired."""
+    blocks = spark.createDataFrame([(1, "aba"), (1, "cd"), (1, "cd"), (2, "xyz"), (2, "xy"), (3, "")], "page long, block_id string")
+    asked = [(1, "a"), (1, "c"), (1, "cd"), (1, "b"), (1, ""), (1, None), (2, "x"), (2, "yz"), (2, "xy"), (2, "xyzz"), (3, ""), (4, "a")]
+    got = stores.anchors_repaired(spark.createDataFrame(asked * 2, "page long, anchor string"), blocks)
+    want = {(1, "a"): "aba", (1, "cd"): "cd", (2, "yz"): "xyz", (2, "xy"): "xy", (3, ""): ""}
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str((*a, want.get(a))) for a in asked)
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert not re.search(r"Join \[[^,\]]*page#\d+L\]", plan)
+
+
 def test_scores_and_checks(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "c")], "gold string, predicted string")
     got = {r["label"]: (r["support"], round(r["precision"], 3), round(r["recall"], 3)) for r in evaluate.label_scores(rows, "gold", "predicted").collect()}
