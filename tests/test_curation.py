@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -27,6 +28,24 @@ def test_near_duplicates_as_brute_force(spark):
     check()
 
 
+def test_near_duplicates_in_rounds(spark, monkeypatch):
+    """Longer sets as brute force pairs them; pairs that outnumber the sets are compared some at a time."""
+    rng = random.Random(5)
+    base = [rng.sample(range(400), n) for n in (7, 20, 20, 33, 60, 61)]
+    sets = [[f"w{x}" for x in s[: len(s) - rng.randrange(4)]] + [f"z{rng.randrange(30)}"] for s in base for _ in range(9)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    monkeypatch.setattr(curate, "PAIRS_A_SET", 1)
+    got = curate.near_duplicates(df)
+    rep = {}
+    for i, s in enumerate(sets):
+        rep.setdefault(frozenset(s), i)
+    want = {(a, b, round(len(x & y) / len(x | y), 6)) for x, a in rep.items() for y, b in rep.items() if a < b}
+    want = {p for p in want if p[2] >= 0.85} | {(rep[frozenset(s)], i, 1.0) for i, s in enumerate(sets) if rep[frozenset(s)] != i}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 50
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("near-found-") > 1 and "Join" not in plan
+
+
 def test_quota(spark):
     have = spark.createDataFrame([("direct", 2)], "category string, n long")
     got = [r["category"] for r in curate.quota_plan(spark, [("direct", 3), ("explanation", 2)], have).orderBy("place").collect()]
