@@ -109,6 +109,30 @@ def test_threshold_of_empty_texts(spark, tmp_path):
         assert str(got) == str(con.sql(evaluation.ORACLES["threshold_calibration"]).fetchall())
 
 
+def test_scored_rows_are_dealt_by_number(spark, monkeypatch):
+    """Tasks grow in number, not in size; the ranking is the same, ids may repeat, and rankings are tables."""
+    texts = [(i % 25, " ".join(f"w{i * j % 7}" for j in range(1 + i % 9)) if i % 6 else None) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asks = asked(spark, "w1 w2 w3", "w0 w5", "none")
+    want = {tuple(r) for r in lexical.bm25(docs, asks, 4).select("query_id", "doc_id", "score", "rank").collect()}
+    monkeypatch.setattr(lexical, "ROWS_A_PART", 3)
+    monkeypatch.setattr(lexical, "FEW_TERMS", 0)
+    got = lexical.bm25(docs, asks, 4).select("query_id", "doc_id", "score", "rank")
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 8
+    assert "bm25-ranking-" in got._jdf.queryExecution().toString()
+
+
+def test_postings_without_shuffle(spark):
+    docs = spark.createDataFrame([(1, "b a B"), (2, None), (3, "c"), (4, "")], "doc_id long, text string").coalesce(1)
+    many = docs.repartition(16)
+    want = {(1, "b", 2, 3), (1, "a", 1, 3), (3, "c", 1, 1)}
+    for df in (docs, many):
+        assert {(r["doc_id"], r["term"], r["tf"], r["n_tokens"]) for r in lexical.postings(df).collect()} == want
+    assert "Aggregate" not in lexical.postings(docs)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    twice = docs.unionByName(spark.createDataFrame([(1, "a a c"), (3, "c d")], "doc_id long, text string"))
+    assert {(r["doc_id"], r["term"], r["tf"], r["n_tokens"]) for r in lexical.postings(twice).collect()} == {(1, "b", 2, 3), (1, "a", 3, 3), (1, "c", 1, 3), (3, "c", 1, 1), (3, "c", 1, 2), (3, "d", 1, 2)}
+
+
 def test_support_gate(spark):
     base = ranked(spark, *[f"old_{i}" for i in range(10)])
     rows = [(1, 0, f"old_{i}", 0.1, 100 + i) for i in range(5)] + [(1, 0, "new", 0.9, 1), (1, 0, "worse", 0.2, 2)]
