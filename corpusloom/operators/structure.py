@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import folded, stable_id, token_count
 
 TARGET, OVERLAP, PARENT = 400, 50, 1500
+#: Documents that Python holds at once.
+SLICE = 128
 
 # -- lines ----------------------------------------------------------------------------------------------------
 
@@ -173,24 +176,31 @@ def spans(weights: list[int], target: int = TARGET, overlap: int = OVERLAP) -> l
     return found
 
 
-_CHUNK = "doc_id long, parent_no long, chunk_no long, first_line long, last_line long, text string"
+_SPAN = {"parent_no": "bigint", "chunk_no": "bigint", "first_line": "bigint", "last_line": "bigint", "text": "string"}
 
 
-def _by_document(docs: DataFrame, cut) -> DataFrame:
-    """``cut(lines, weights, keys)`` gives (parent_no, chunk_no, start, end) for each document's row."""
-    own = docs.select("doc_id", "lines", "weights", "keys")
+def _by_document(docs: DataFrame, cut, texts: bool = True) -> DataFrame:
+    """``cut(weights, keys)`` gives (parent_no, chunk_no, start, end) for each document's row.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for doc, ls, ws, ks in part.itertuples(index=False, name=None):
-                for parent, chunk, a, b in cut(list(ws), list(ks)):
-                    out.append((doc, parent, chunk, a, b - 1, "\n".join(ls[a:b])))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _CHUNK.split(", ")])
+    Python holds a slice of documents at a time. Without ``texts`` it sees weights and keys alone.
+    """
+    names = list(_SPAN) if texts else list(_SPAN)[:4]
 
-    made = own.mapInPandas(run, _CHUNK)
-    made = made.withColumn("token_count", token_count(F.col("text")))
-    return made.withColumn("chunk_id", stable_id("chunk", F.col("doc_id"), F.col("first_line"), F.col("text")))
+    @F.arrow_udf(f"array<struct<{','.join(f'{n}:{_SPAN[n]}' for n in names)}>>")
+    def spanned(ws: pa.Array, ks: pa.Array, *ls: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([(n, pa.string() if n == "text" else pa.int64()) for n in names]))
+        made = [pa.array([], kind)]
+        for at in range(0, len(ws), SLICE):
+            part = [x.slice(at, SLICE).to_pylist() for x in (ws, ks, *ls)]
+            rows = ([(p, c, i, j - 1, *("\n".join(x[i:j]) for x in own)) for p, c, i, j in cut(w, k)] for w, k, *own in zip(*part))
+            made.append(pa.array([[dict(zip(names, x)) for x in row] for row in rows], kind))
+        return pa.concat_arrays(made)
+
+    found = docs.select("doc_id", spanned("weights", "keys", *(["lines"] if texts else [])).alias("spans")).select("doc_id", F.inline_outer("spans"))  # outer: else Spark would cut once more to look for empty lists
+    if not texts:
+        return found
+    found = found.withColumn("token_count", token_count(F.col("text")))
+    return found.withColumn("chunk_id", stable_id("chunk", F.col("doc_id"), F.col("first_line"), F.col("text")))
 
 
 def _measured(docs: DataFrame, key=None) -> DataFrame:
@@ -203,8 +213,11 @@ def fixed_chunks(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP)
     return _by_document(_measured(docs), lambda ws, _: [(0, n, a, b) for n, (a, b) in enumerate(spans(ws, target, overlap))]).drop("parent_no")
 
 
-def parent_child_chunks(docs: DataFrame, key, parent: int = PARENT, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """Runs of lines of equal ``key(line)`` are cut into parents without overlap, parents into children with it."""
+def parent_child_chunks(docs: DataFrame, key, parent: int = PARENT, target: int = TARGET, overlap: int = OVERLAP, texts: bool = True) -> DataFrame:
+    """Runs of lines of equal ``key(line)`` are cut into parents without overlap, parents into children with it.
+
+    Without ``texts`` there is no text, token_count and chunk_id.
+    """
 
     def cut(ws: list[int], ks: list[str]) -> list[tuple[int, int, int, int]]:
         out, number, at = [], 0, 0
@@ -218,7 +231,7 @@ def parent_child_chunks(docs: DataFrame, key, parent: int = PARENT, target: int
             at = stop
         return out
 
-    return _by_document(_measured(docs, key), cut)
+    return _by_document(_measured(docs, key), cut, texts)
 
 
 # -- anomalies ------------------------------------------------------------------------------------------------

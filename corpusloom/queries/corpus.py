@@ -198,7 +198,7 @@ pp AS (SELECT k.doc AS doc, k.at + s AS pos, e - s AS n, row_number() OVER (PART
 cw AS (SELECT {{'doc': pp.doc, 'parent': parent_no, 'at': pos}} AS k, list(greatest(1, len(regexp_extract_all(text, '{SIZE}')))::BIGINT ORDER BY line_no) AS w FROM pp JOIN lines ON doc_id = pp.doc AND line_no >= pos AND line_no < pos + n GROUP BY pp.doc, parent_no, pos), {_packed('cw', 400, 50, 'c')}
 SELECT k.doc AS doc_id, k.parent AS parent_no, no AS chunk_no, k.at + s AS first_line, k.at + e - 1 AS last_line FROM c""")
 def chunk_parent_child(spark, d):
-    return st.parent_child_chunks(table(spark, d, "documents"), kind).select("doc_id", "parent_no", "chunk_no", "first_line", "last_line")
+    return st.parent_child_chunks(table(spark, d, "documents"), kind, texts=False).select("doc_id", "parent_no", "chunk_no", "first_line", "last_line")
 
 
 SCORED = rf"""x AS (SELECT doc_id, source, length(text) AS n_chars, round(least(length(text) / 500.0::DOUBLE, 1), 4) AS quality, doc_id % 5 > 0 AS covered,

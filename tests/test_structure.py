@@ -83,3 +83,17 @@ def test_html(spark):
     html = "<html><head><title>T</title><style>p{}</style></head><body><!-- x --><script>a('<p>')</script><h1>Head</h1><p>one <b>two</b> &amp; three<br>four</body>"
     got = [r["text"] for r in st.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block_no").collect()]
     assert got == ["T", "Head", "one two & three", "four"]
+
+
+def test_python_sees_no_texts(spark):
+    """Parents and children need weights and keys alone; more documents than a slice give what each gives by itself."""
+    from corpusloom.queries.corpus import kind
+
+    rows = [(i, "\n".join(["a b c", "A | B | C", "UP"][(i + j) % 3] for j in range(1 + i % 5))) for i in range(2 * st.SLICE + 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole, bare = st.parent_child_chunks(df, kind), st.parent_child_chunks(df, kind, texts=False)
+    spans = ["doc_id", "parent_no", "chunk_no", "first_line", "last_line"]
+    assert sorted(whole.select(spans).collect()) == sorted(bare.select(spans).collect()) and bare.columns == spans
+    assert all(r["text"] == "\n".join(rows[r["doc_id"]][1].split("\n")[r["first_line"] : r["last_line"] + 1]) for r in whole.collect())
+    plan = bare._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "pythonUDF0" in plan and "InPandas" not in plan
