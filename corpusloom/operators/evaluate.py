@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KS = (1, 3, 5, 10)
+#: Texts that Python holds at once, and those of an Arrow batch.
+SLICE, ARROW_TEXTS = 128, "1024"
 
 
 def containment(docs: DataFrame, items: DataFrame, batch: int = 20_000) -> DataFrame:
@@ -27,6 +29,9 @@ def containment(docs: DataFrame, items: DataFrame, batch: int = 20_000) -> DataF
 
 def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     few = [(r["query_id"], r["text"]) for r in items.collect()]  # a batch
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default: too many whole texts at once
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_TEXTS)
     sent = docs.sparkSession.sparkContext.broadcast(few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,10 +46,12 @@ def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
         found.make_automaton()
         for batch in batches:
             q, d = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hits = sorted({i for _, ids in found.iter(text or "") for i in ids}) if by else []
-                q += hits
-                d += [doc] * len(hits)
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    hits = sorted({i for _, ids in found.iter(text or "") for i in ids}) if by else []
+                    q += hits
+                    d += [doc] * len(hits)
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64())], names=["query_id", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "query_id long, doc_id long")
