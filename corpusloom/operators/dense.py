@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.lexical import top_k
+from corpusloom.sources.sinks import written
 
 #: Queries that one pass over the vectors answers; a batch's vectors are broadcast.
 BATCH = 8_192
@@ -42,7 +43,7 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, partition:
     for batch in batches:
         made = _batch(vectors, batch.toPandas(), dict(queries.dtypes)["query_id"], k, partition, exclude_self)  # BATCH rows at most
         found = made if found is None else found.unionByName(made)
-    return top_k(found, k, "query_id", "vec_id")
+    return written(top_k(found, k, "query_id", "vec_id"), "dense-ranking")  # read more than once by what fuses and compares
 
 
 def _batch(vectors: DataFrame, asked: pd.DataFrame, kind: str, k: int, partition: str | None, exclude_self: bool) -> DataFrame:

@@ -37,8 +37,8 @@ def gold(spark, d):
     return found.select("query_id", F.col("lang").alias("group_id"), "doc_id", F.when(first, 2).otherwise(1).alias("grade"), (F.col("lang") != "es").alias("required"))
 
 
-def hybrid(spark, d):
-    return fusion.reciprocal_rank_fusion([lexical_lane(spark, d), dense_lane(spark, d)], 10)
+def hybrid(spark, d, lex=None):
+    return fusion.reciprocal_rank_fusion([lexical_lane(spark, d) if lex is None else lex, dense_lane(spark, d)], 10)
 
 
 LANES = f"{sql.ITEMS}, {sql.VECTORS}, {sql.bm25('items', 'documents', 30, 'lex')}, {sql.cosine('vectors', 30, 'den')}, {sql.rrf(['lex', 'den'], 10, 'hyb')}, {GOLD}"
@@ -160,9 +160,9 @@ WITH {LANES}, a AS (SELECT g.query_id, count(DISTINCT group_id) FILTER (WHERE l.
 b AS (SELECT g.query_id, count(DISTINCT group_id) FILTER (WHERE l.doc_id IS NOT NULL) AS h FROM gold g LEFT JOIN hyb l ON l.query_id = g.query_id AND l.doc_id = g.doc_id AND l.rank <= 5 GROUP BY 1)
 SELECT query_id, a.h AS single_hits, b.h AS coordinated_hits, CASE WHEN b.h > a.h THEN 'win' WHEN b.h < a.h THEN 'loss' ELSE 'tie' END AS outcome, 1::BIGINT AS single_searches, 2::BIGINT AS coordinated_searches FROM a JOIN b USING (query_id)""")
 def system_costs(spark, d):
-    g = gold(spark, d)
+    g, lex = gold(spark, d), lexical_lane(spark, d)  # one search for both: its first ten are the single system's
     hits = lambda r, name: g.join(r.where("rank <= 5").select("query_id", "doc_id", F.lit(True).alias("hit")), ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.countDistinct(F.when(F.col("hit"), F.col("group_id"))).alias(name))
-    both = hits(lexical_lane(spark, d, 10), "single_hits").join(hits(hybrid(spark, d), "coordinated_hits"), "query_id")
+    both = hits(lex, "single_hits").join(hits(hybrid(spark, d, lex), "coordinated_hits"), "query_id")
     result = F.when(F.col("coordinated_hits") > F.col("single_hits"), "win").when(F.col("coordinated_hits") < F.col("single_hits"), "loss").otherwise("tie")
     return both.select("*", result.alias("outcome"), F.lit(1).cast("long").alias("single_searches"), F.lit(2).cast("long").alias("coordinated_searches"))
 
